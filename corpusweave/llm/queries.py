@@ -5,13 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusweave.llm import mixing, splitting, tokenizing
+from corpusweave.llm import mixing, spans, splitting, tokenizing
 from corpusweave.runtime import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _token_lists(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "file_index").select(F.lit(0).alias("kind"), F.col("file_id").alias("id"), "tokens")
+    return files.unionByName(table(spark, d, "patterns").select(F.lit(1).alias("kind"), F.col("pattern_id").alias("id"), "tokens"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    found = spans.shared_spans(_token_lists(spark, d))
+    return found.where("kind = 0").select(F.col("id").alias("file_id"), F.col("start_tok").cast("long"), F.col("end_tok").cast("long"))
+
+
+def p1_shares(spark: SparkSession, d: str) -> DataFrame:
+    records = _token_lists(spark, d)
+    return spans.shares(records, spans.shared_spans(records)).where("kind = 0").select(F.col("id").alias("file_id"), "n_tokens", "shared_tokens", "shared_percent")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizing.encode_column(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
@@ -29,7 +45,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
+    return {"p1_found": p1_found, "p1_shares": p1_shares, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
