@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusweave.llm import mixing, spans, splitting, tokenizing
+from corpusweave.llm import mixing, neardup, spans, splitting, tokenizing
 from corpusweave.runtime import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,19 @@ def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.shares(records, spans.shared_spans(records)).where("kind = 0").select(F.col("id").alias("file_id"), "n_tokens", "shared_tokens", "shared_percent")
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "files").select(F.lit("file").alias("kind"), F.col("file_id").alias("id"), F.col("file_content_normalized").alias("text"))
+    return files.unionByName(table(spark, d, "patterns").select(F.lit("pattern").alias("kind"), F.col("pattern_id").alias("id"), "text"))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(_texts(spark, d)).select(F.col("kind").alias("record_kind"), "id", "class_id")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.group_pairs(neardup.groups(_texts(spark, d))).select(F.col("kind").alias("record_kind"), "id_a", "id_b")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizing.encode_column(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
@@ -45,7 +58,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_shares": p1_shares, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
+    return {"p1_found": p1_found, "p1_shares": p1_shares, "p2_found": p2_found, "p2_groups": p2_groups, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
