@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusweave.llm import lookalike, mixing, mojibake, neardup, spans, splitting, tokenizing
+from corpusweave.llm import licences, lookalike, mixing, mojibake, neardup, secrets, spans, splitting, tokenizing
 from corpusweave.runtime import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,18 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.group_pairs(neardup.groups(_texts(spark, d))).select(F.col("kind").alias("record_kind"), "id_a", "id_b")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return licences.verdicts(table(spark, d, "files"), table(spark, d, "repositories"), table(spark, d, "patterns"))
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.credentials(table(spark, d, "files"), "file_id", "file_content")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.lines(p5_redacted(spark, d), "file_id")
+
+
 def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.repair(table(spark, d, "files"), "file_id", "repo_id", "file_content")
 
@@ -74,7 +86,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_shares": p1_shares, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_repaired": p4_repaired, "p6_found": p6_found, "p6_canonical": p6_canonical, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
+    return {"p1_found": p1_found, "p1_shares": p1_shares, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p4_found": p4_found, "p4_repaired": p4_repaired, "p6_found": p6_found, "p6_canonical": p6_canonical, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
