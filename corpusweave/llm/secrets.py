@@ -212,4 +212,4 @@ def credentials(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def lines(found: DataFrame, key: str) -> DataFrame:
-    return found.select(key, F.explode("lines").cast("long").alias("line_no"))
+    return found.select(key, F.explode("lines").alias("line_no")).select(key, F.col("line_no").cast("long"))
