@@ -164,15 +164,18 @@ class Model:
         return float(np.log((self.pairs[pair] + 2 * self.alone[c[1:]]) / (before + 2)).sum())
 
 
-def posterior(line: str, model: Model, prior: np.ndarray, known: list[tuple[int, str]] | None = None) -> list[tuple[int, str, float]]:
-    """(chain, text, probability) of a line's candidates."""
-    found = known or candidates(plain(line))
-    if len(found) == 1:
-        return [(*found[0], 1.0)]
-    logs = np.array([model.score(t) for _, t in found]) + np.log(prior[[c for c, _ in found]])
-    p = np.exp(logs - logs.max())
-    p /= p.sum()
-    return [(c, t, float(x)) for (c, t), x in zip(found, p)]
+class Scored:
+    """A line's candidates and their likelihoods: what is the same for every source."""
+
+    def __init__(self, found: list[tuple[int, str]], model: Model):
+        self.chains = np.array([c for c, _ in found])
+        self.texts = [t for _, t in found]
+        self.logs = np.array([model.score(t) for t in self.texts]) if len(found) > 1 else np.zeros(1)
+
+    def posterior(self, log_prior: np.ndarray) -> np.ndarray:
+        logs = self.logs + log_prior[self.chains]
+        p = np.exp(logs - logs.max())
+        return p / p.sum()
 
 
 def _source(key: int | None) -> int:
@@ -183,7 +186,8 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[tuple[int, str], int] = {}
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in counts], pa.int32()), pa.array([x for _, x in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["source", "line", "n"])
+        rows = [(s, x, n) for (s, raw), n in counts.items() if not (x := plain(raw)).isascii()]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["source", "line", "n"])
 
     for b in batches:
         for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -191,14 +195,23 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             s = _source(key)
             for x in text.split("\n"):
-                if not x.isascii() and not (x := plain(x.strip())).isascii():
-                    counts[s, x] = counts.get((s, x), 0) + 1
+                if not x.isascii():
+                    k = s, x.strip()
+                    counts[k] = counts.get(k, 0) + 1
         if len(counts) > 100_000:
             yield out()
             counts.clear()
     yield out()
 
 
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The candidates of each distinct line, once for all rounds."""
+    for b in batches:
+        found = [candidates(x) for x in b.column(0).to_pylist()]
+        chains, texts = ([[c[k] for c in x] for x in found] for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(chains, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string())), *b.columns[1:]], names=["chains", "texts", "sources", "counts"])
+
+
 def _blob(x: np.ndarray) -> bytes:
     return zlib.compress(x.astype(np.float32).tobytes(), 1)
 
@@ -208,22 +221,25 @@ def _array(x: bytes) -> np.ndarray:
 
 
 def _expect(state):
-    """One round over a task's lines: what they add to the model and to the frequencies."""
+    """One round over a task's lines: what they add to the model and to the frequencies. Frequencies are kept as logarithms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        old, new = state.value if state else None, Model()
-        counts = np.zeros((SOURCES, len(CHAINS)))
-        model, priors = _unpacked(old) if old else (None, None)
+        new, counts = Model(), np.zeros((SOURCES, len(CHAINS)))
+        model, priors = _unpacked(state.value) if state else (None, None)
         for b in batches:
-            for s, line, n in zip(*(c.to_pylist() for c in b.columns)):
+            for chains, texts, sources, ns in zip(*(c.to_pylist() for c in b.columns)):
                 if model is None:
-                    new.add(line, n), np.add.at(counts, (s, 0), n)
+                    counts[sources, 0] += ns
+                    new.add(texts[0], sum(ns))
                     continue
-                for c, text, p in posterior(line, model, priors[s], candidates(line)):
-                    if p > 1e-4:
-                        counts[s, c] += n * p
-                        if c != 1:
-                            new.add(text, n * p)
+                line, weights = Scored(list(zip(chains, texts)), model), np.zeros(len(chains))
+                for s, n in zip(sources, ns):
+                    p = n * line.posterior(priors[s])
+                    counts[s, line.chains] += p
+                    weights += p
+                for text, w, c in zip(texts, weights, chains):
+                    if w > 1e-4 and c != 1:
+                        new.add(text, w)
         # by parts, so that the sum of many tasks is spread too
         yield pa.RecordBatch.from_arrays([pa.array([0, 1, 2], pa.int32()), pa.array([_blob(new.pairs), _blob(new.chars), _blob(counts)], pa.binary())], names=["part", "sums"])
 
@@ -245,12 +261,12 @@ def _unpacked(state: tuple[bytes, bytes, bytes, bool]) -> tuple[Model, np.ndarra
     begin = np.full(n, FIRST / (n - 1))
     begin[0] = 1 - FIRST
     if first:
-        return model, np.tile(begin, (SOURCES, 1))
+        return model, np.tile(np.log(begin), (SOURCES, 1))
     counts = _array(counts).reshape(SOURCES, n)
     every = counts.sum(0) + 10 * begin
     every /= every.sum()
     mine = counts + WORTH * every
-    return model, mine / mine.sum(1, keepdims=True)
+    return model, np.log(mine / mine.sum(1, keepdims=True))
 
 
 def fit(texts: DataFrame, source: str, text: str, rounds: int = ROUNDS) -> tuple[bytes, bytes, bytes, bool]:
@@ -258,7 +274,9 @@ def fit(texts: DataFrame, source: str, text: str, rounds: int = ROUNDS) -> tuple
     sc = texts.sparkSession.sparkContext
     kind = "source int, line string, n long"
     counted = spread(texts.select(F.col(source).cast("long"), text).where(F.col(text).rlike("[^\\x00-\\x7F]"))).mapInArrow(_lines, kind)
-    lines = written(counted.groupBy("source", "line").agg(F.sum("n").alias("n")), "moji-lines")
+    by_line = counted.groupBy("source", "line").agg(F.sum("n").alias("n")).groupBy("line").agg(F.collect_list(F.struct("source", "n")).alias("at"))  # at most SOURCES in a list
+    lines = by_line.select("line", F.col("at.source").alias("sources"), F.col("at.n").alias("counts"))
+    lines = written(lines.mapInArrow(_candidates, "chains array<int>, texts array<string>, sources array<int>, counts array<long>"), "moji-lines")
     state = None
     for k in range(rounds + 1):
         shared = sc.broadcast(state) if state else None
@@ -281,7 +299,8 @@ def repair(df: DataFrame, key: str, source: str, text: str, rounds: int = ROUNDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, priors = _unpacked(shared.value)
-        known: dict[tuple[int, str], tuple[int, str | None]] = {}
+        scored: dict[str, Scored | None] = {}
+        known: dict[tuple[int, str], tuple[int, str]] = {}
         for b in batches:
             rows = []
             for k, s, t in zip(*(c.to_pylist() for c in b.columns)):
@@ -295,11 +314,20 @@ def repair(df: DataFrame, key: str, source: str, text: str, rounds: int = ROUNDS
                     body = x.strip()
                     best = known.get((g, body))
                     if best is None:
-                        p = plain(body)
-                        c, got, _ = max(posterior(p, model, priors[g], candidates(p)), key=lambda y: y[2]) if not p.isascii() else (0, body, 1.0)
+                        if body not in scored:
+                            if len(scored) > 50_000:
+                                scored.clear()
+                            p = plain(body)
+                            scored[body] = None if p.isascii() else Scored(candidates(p), model)
+                        line = scored[body]
+                        if line is None:
+                            best = (0, body)
+                        else:
+                            j = int(np.argmax(line.logs + priors[g][line.chains]))
+                            best = (int(line.chains[j]), line.texts[j])
                         if len(known) > 200_000:
                             known.clear()
-                        best = known[g, body] = (c, got)
+                        known[g, body] = best
                     if best[0]:
                         numbers.append(i + 1), chains.append(" < ".join(CHAINS[best[0]]))
                         lost |= best[0] == 1
