@@ -1,41 +1,402 @@
-"""The queries of the library's core and the SQL they are held against."""
+"""The queries of the library's core and the SQL they are held against, over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusweave.operators import snapshots
-from corpusweave.runtime import table
+from corpusweave.functions import grams
+from corpusweave.functions import text as T
+from corpusweave.operators import files as table_ops
+from corpusweave.operators import search, snapshots
+from corpusweave.runtime import spread, table
+from corpusweave.sinks import reports
+from corpusweave.sources import archives, terms
+from corpusweave.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
 
-def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return snapshots.snapshot_differences(table(spark, d, "snapshot_primary"), table(spark, d, "snapshot_mirror"))
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with the SQL that gives the same rows."""
+
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# ---- the two snapshots
 
+_LATEST = r"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, file_path ORDER BY recorded_at DESC, file_hash DESC NULLS LAST, licenses DESC NULLS LAST, t DESC NULLS LAST) rn
+FROM (SELECT repo_id, regexp_replace(replace(file_path, '\', '/'), '^(\./)+', '') file_path, file_hash, licenses, file_content_is_text t, recorded_at FROM {table})) WHERE rn = 1"""
 
-P7_SQL = r"""
-WITH a AS (SELECT repo_id, regexp_replace(replace(file_path, '\', '/'), '^(\./)+', '') file_path, file_hash, licenses, file_content_is_text t, recorded_at FROM snapshot_primary),
-b AS (SELECT repo_id, regexp_replace(replace(file_path, '\', '/'), '^(\./)+', '') file_path, file_hash, licenses, file_content_is_text t, recorded_at FROM snapshot_mirror),
-p AS (SELECT *, row_number() OVER (PARTITION BY repo_id, file_path ORDER BY recorded_at DESC, file_hash DESC NULLS LAST, licenses DESC NULLS LAST, t DESC NULLS LAST) rn FROM a),
-m AS (SELECT *, row_number() OVER (PARTITION BY repo_id, file_path ORDER BY recorded_at DESC, file_hash DESC NULLS LAST, licenses DESC NULLS LAST, t DESC NULLS LAST) rn FROM b),
+
+@query(f"""
+WITH p AS ({_LATEST.format(table="snapshot_primary")}), m AS ({_LATEST.format(table="snapshot_mirror")}),
 j AS (SELECT coalesce(p.repo_id, m.repo_id) repo_id, coalesce(p.file_path, m.file_path) file_path, p.rn pr, m.rn mr,
   lower(p.file_hash) IS DISTINCT FROM lower(m.file_hash) dh, p.t IS DISTINCT FROM m.t dt,
   list_sort(list_distinct(coalesce(p.licenses, []))) IS DISTINCT FROM list_sort(list_distinct(coalesce(m.licenses, []))) dl
-  FROM (SELECT * FROM p WHERE rn = 1) p FULL JOIN (SELECT * FROM m WHERE rn = 1) m ON p.repo_id = m.repo_id AND p.file_path = m.file_path)
+  FROM p FULL JOIN m ON p.repo_id = m.repo_id AND p.file_path = m.file_path)
 SELECT repo_id, file_path, 'missing_in_mirror' difference FROM j WHERE mr IS NULL
 UNION ALL SELECT repo_id, file_path, 'missing_in_primary' FROM j WHERE pr IS NULL
 UNION ALL SELECT repo_id, file_path, 'file_hash' FROM j WHERE pr = 1 AND mr = 1 AND dh
 UNION ALL SELECT repo_id, file_path, 'licenses' FROM j WHERE pr = 1 AND mr = 1 AND dl
-UNION ALL SELECT repo_id, file_path, 'file_content_is_text' FROM j WHERE pr = 1 AND mr = 1 AND dt
-"""
+UNION ALL SELECT repo_id, file_path, 'file_content_is_text' FROM j WHERE pr = 1 AND mr = 1 AND dt""")
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return snapshots.snapshot_differences(table(spark, d, "snapshot_primary"), table(spark, d, "snapshot_mirror"))
 
 
-def queries() -> dict[str, Query]:
-    return {"p7_found": p7_found}
+def _hash_diff(a: str, b: str) -> str:
+    return f"""SELECT repo_id, file_path, file_hash, recorded_at FROM {a} n WHERE coalesce(file_hash, '') = ''
+OR NOT EXISTS (SELECT 1 FROM {b} o WHERE lower(o.file_hash) = lower(n.file_hash) AND o.file_hash <> '')"""
 
 
-def oracle_sql() -> dict[str, str]:
-    return {"p7_found": P7_SQL}
+_STATE = ["repo_id", "file_path", "file_hash", "recorded_at"]
+
+
+@query(_hash_diff("snapshot_primary", "snapshot_mirror"))
+def new_or_changed(spark: SparkSession, d: str) -> DataFrame:
+    return table_ops.new_or_changed(table(spark, d, "snapshot_mirror"), table(spark, d, "snapshot_primary")).select(_STATE)
+
+
+@query(_hash_diff("snapshot_mirror", "snapshot_primary"))
+def removed_files(spark: SparkSession, d: str) -> DataFrame:
+    return table_ops.removed(table(spark, d, "snapshot_mirror"), table(spark, d, "snapshot_primary")).select(_STATE)
+
+
+# ---- text functions
+
+_STRIP = r"""replace(regexp_replace(regexp_replace(regexp_replace(replace({c}, '\&.', '.'), '([0-9])\.([0-9])', '\1' || chr(57344) || '\2', 'g'),
+ '([0-9])\.([0-9])', '\1' || chr(57344) || '\2', 'g'), '[!-/:-@\[-`{{-~]', '', 'g'), chr(57344), '.')"""
+
+
+@query(f"SELECT doc_id, {_STRIP.format(c='text')} AS stripped FROM documents")
+def strip_punctuation(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.strip_punctuation(F.col("text")).alias("stripped"))
+
+
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '[\x00-\x08\x0B-\x0C\x0E-\x1F]+', ' ', 'g'), '(\\x[0-9A-Fa-f]{2})+', ' ', 'g') AS cleaned FROM documents")
+def clean_control(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.clean_control(F.col("text")).alias("cleaned"))
+
+
+@query()
+def normalize_text(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.normalize(F.col("text")).alias("normalized"))
+
+
+@query()
+def normalize_for_compare(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.normalize_for_compare(F.col("text")).alias("normalized"))
+
+
+@query(f"SELECT pattern_id, trim(regexp_replace(lower({_STRIP.format(c='raw_text')}), '\\s+', ' ', 'g')) AS normalized FROM patterns")
+def normalize_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "patterns").select("pattern_id", T.normalize(F.col("raw_text")).alias("normalized"))
+
+
+_BASE = r"regexp_extract(file_path, '([^/]*)/*$', 1)"
+
+
+@query(rf"""SELECT file_id, CASE WHEN regexp_extract(lower({_BASE}), '^\.*[^.].*?(\.[^.]*)$', 1) <> '' THEN regexp_extract(lower({_BASE}), '^\.*[^.].*?(\.[^.]*)$', 1)
+ELSE lower({_BASE}) END AS extension FROM files""")
+def file_extension(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "files").select("file_id", T.file_extension(F.col("file_path")).alias("extension"))
+
+
+@query(r"""SELECT pattern_id, split_part(regexp_replace(regexp_extract(source_path, '([^/\\]*)$', 1), '\.[^.]*$', ''), '_', 1) AS name FROM patterns""")
+def licence_name(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "patterns").select("pattern_id", T.licence_name(F.col("source_path")).alias("name"))
+
+
+@query(r"SELECT pattern_id, array_to_string(regexp_extract_all(license_name, '\d+(\.\d+)?'), ',') AS versions FROM patterns")
+def versions_of_name(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "patterns").select("pattern_id", F.array_join(T.versions_of_name(F.col("license_name")), ",").alias("versions"))
+
+
+_FOUND = r"regexp_extract_all({c}, '(?i)(?:\bversion\s+|\bv\.?\s*|\blicense\s+)(\d+(?:\.\d+)?)', 1)"
+_DISTINCT = f"list_filter({_FOUND}, lambda x, i: list_position({_FOUND}, x) = i)"
+_WHOLE = f"list_transform({_DISTINCT}, lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN regexp_replace(x, '^0+([0-9])', '\\1') || '.0' ELSE x END)"
+
+
+@query(f"SELECT file_id, array_to_string({_WHOLE.format(c='file_content_normalized')}, ',') AS versions FROM files WHERE file_content_normalized IS NOT NULL")
+def found_versions(spark: SparkSession, d: str) -> DataFrame:
+    text = F.col("file_content_normalized")
+    return table(spark, d, "files").where(text.isNotNull()).select("file_id", F.array_join(T.whole_numbers(T.versions_in_text(text)), ",").alias("versions"))
+
+
+@query(f"SELECT match_id, nullif({_FOUND.format(c='matched_substring')}[1], '') AS version FROM match_results")
+def first_version(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "match_results").select("match_id", T.first_version(F.col("matched_substring")).alias("version"))
+
+
+@query(r"""SELECT file_id, '=HYPERLINK("file:///' || replace(file_path, '\', '/') || '", "' || regexp_extract(replace(file_path, '\', '/'), '([^/]*)/*$', 1) || '")' AS link,
+CASE WHEN starts_with(file_path, 'src/') THEN substr(file_path, 5) ELSE file_path END AS inside FROM files""")
+def report_links(spark: SparkSession, d: str) -> DataFrame:
+    path = F.col("file_path")
+    return table(spark, d, "files").select("file_id", T.hyperlink(path).alias("link"), T.relative(path, "src").alias("inside"))
+
+
+# ---- tokens and anchors
+
+
+@query("""WITH t AS (SELECT file_id, unnest(string_split(file_content_normalized, ' ')) AS word, generate_subscripts(string_split(file_content_normalized, ' '), 1) - 1 AS pos
+  FROM files WHERE file_content_normalized <> '')
+SELECT file_id, pos, word, lower(word) AS norm, s AS start_char, s + length(word) AS end_char FROM (
+  SELECT *, coalesce(sum(length(word) + 1) OVER (PARTITION BY file_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM t)""")
+def tokenize_spans(spark: SparkSession, d: str) -> DataFrame:
+    return grams.with_spans(spread(table(spark, d, "files").select("file_id", "file_content_normalized")), "file_content_normalized", ["file_id"])
+
+
+_GRAMS = "SELECT {k}, i - 1 AS pos, array_to_string({w}[i:i + 3], ' ') AS gram FROM (SELECT {k}, {w}, unnest(range(1, len({w}) - 2)) AS i FROM {t} WHERE len({w}) >= 4)"
+
+
+@query(f"SELECT file_id, gram, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM ({_GRAMS.format(k='file_id', w='tokens', t='file_index')}) GROUP BY ALL")
+def anchor_index(spark: SparkSession, d: str) -> DataFrame:
+    index = grams.anchor_index(spread(table(spark, d, "file_index").select("file_id", "tokens")), "tokens", ["file_id"])
+    return index.select("file_id", "gram", F.array_join(index["positions"].cast("array<string>"), ",").alias("positions"))
+
+
+# ---- hashes, duplicates, table maintenance
+
+
+@query("SELECT file_id, sha256(file_content) AS sha256, md5(file_content) AS md5 FROM files")
+def file_hash(spark: SparkSession, d: str) -> DataFrame:
+    content = F.col("file_content")
+    return table(spark, d, "files").select("file_id", T.digest(content).alias("sha256"), T.digest(content, "md5").alias("md5"))
+
+
+@query("SELECT sha256(file_content) AS digest, count(*) AS copies, min(file_id) AS first_id FROM files WHERE file_content IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def duplicate_files(spark: SparkSession, d: str) -> DataFrame:
+    return table_ops.duplicates(table(spark, d, "files"))
+
+
+def _latest(files: DataFrame) -> DataFrame:
+    return table_ops.upsert(files, ["repo_id", "file_path"], "scanned_at", "file_id")
+
+
+@query("SELECT repo_id, file_path, file_id, scanned_at FROM files QUALIFY row_number() OVER (PARTITION BY repo_id, file_path ORDER BY scanned_at DESC, file_id DESC) = 1")
+def upsert_files(spark: SparkSession, d: str) -> DataFrame:
+    return _latest(table(spark, d, "files").select("repo_id", "file_path", "file_id", "scanned_at"))
+
+
+@query("SELECT file_id, file_path FROM files f WHERE NOT EXISTS (SELECT 1 FROM match_results m WHERE m.file_id = f.file_id)")
+def remove_matched(spark: SparkSession, d: str) -> DataFrame:
+    return table_ops.remove(table(spark, d, "files").select("file_id", "file_path"), table(spark, d, "match_results"), ["file_id"])
+
+
+_IGNORED = r"contains(replace(file_path, '\', '/'), 'src/test')"
+
+
+@query(f"SELECT file_id, NOT {_IGNORED} AS is_released FROM files")
+def release_status(spark: SparkSession, d: str) -> DataFrame:
+    return table_ops.release_status(table(spark, d, "files").select("file_id", "file_path")).select("file_id", "is_released")
+
+
+@query(f"SELECT count(*) AS total_files, count(*) FILTER (NOT {_IGNORED}) AS released_files FROM files")
+def scan_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table_ops.scan_counts(table(spark, d, "files"))
+
+
+def _digests(order: str, where: str = "file_path IS NOT NULL") -> str:
+    return f"""SELECT repo_id AS folder, sha256(string_agg(concat(file_path, chr(0), coalesce(file_content, '')), '' ORDER BY {order}, sha256(coalesce(file_content, '')))) AS digest
+FROM files WHERE repo_id IS NOT NULL AND {where} GROUP BY 1"""
+
+
+@query(_digests("file_path"))
+def folder_digest(spark: SparkSession, d: str) -> DataFrame:
+    return table_ops.folder_digests(table(spark, d, "files"), "repo_id", "file_path", "file_content")
+
+
+@query(_digests("list_transform(string_split(file_path, '/'), lambda p, i: CASE WHEN i = len(string_split(file_path, '/')) THEN '0' ELSE '1' END || p)"))
+def folder_digest_by_level(spark: SparkSession, d: str) -> DataFrame:
+    return table_ops.folder_digests(table(spark, d, "files"), "repo_id", "file_path", "file_content", by_level=True)
+
+
+@query(_digests("file_path", "file_path IS NOT NULL AND NOT starts_with(file_path, 'docs/') AND NOT starts_with(file_path, 'src/test/')"))
+def folder_digest_excluding(spark: SparkSession, d: str) -> DataFrame:
+    return table_ops.folder_digests(table_ops.exclude(table(spark, d, "files"), "file_path", ["docs", "src/test"]), "repo_id", "file_path", "file_content")
+
+
+# ---- archives: every path as it is and with the endings of archives
+
+_ENDINGS = ["", ".tar.gz", ".TGZ", ".tar.xz", ".zip", ".jar", ".gz", ".txt.gz", ".bz2", ".lzma", ".war", "/sha256/0123456789abcdef0123456789ABCDEF"]
+_PATHS = f"(SELECT file_id, file_path || e AS path FROM files, unnest([{', '.join(repr(e) for e in _ENDINGS)}]) AS u(e))"
+_COMPOUND = r"'(\.tar\.gz|\.tgz|\.tar\.bz2|\.tbz2|\.tar\.xz|\.txz)$'"
+
+
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "files").select("file_id", F.explode(F.array(*[F.concat("file_path", F.lit(e)) for e in _ENDINGS])).alias("path"))
+
+
+@query(rf"""SELECT file_id, path, CASE WHEN regexp_matches(lower(path), {_COMPOUND}) OR regexp_matches(lower(path), '[^/]\.(zip|tar|jar)$')
+  OR regexp_matches(lower(path), '(^|/)[^./][^./]*\.gz$') OR regexp_matches(lower(path), '(^|/)sha256/(.*/)?[0-9a-f]{{32,128}}$') THEN 'multi'
+  WHEN regexp_matches(lower(path), '[^/]\.(bz2|xz|lzma|gz)$') THEN 'single' ELSE 'none' END AS kind FROM {_PATHS}""")
+def archive_classify(spark: SparkSession, d: str) -> DataFrame:
+    return _paths(spark, d).withColumn("kind", archives.classify(F.col("path")))
+
+
+@query(rf"""SELECT file_id, path, CASE WHEN regexp_matches(path, '(?i)' || {_COMPOUND}) THEN regexp_replace(path, '(?i)' || {_COMPOUND}, '')
+  ELSE regexp_replace(path, '([^/])\.[^./]*$', '\1') END AS root FROM {_PATHS}""")
+def archive_root(spark: SparkSession, d: str) -> DataFrame:
+    return _paths(spark, d).withColumn("root", archives.without_suffix(F.col("path")))
+
+
+# ---- searches
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "files").select(F.col("file_id").alias("path"), F.col("file_content_normalized").alias("text")))
+
+
+def _patterns(spark: SparkSession, d: str, kind: str | None = None) -> DataFrame:
+    p = table(spark, d, "patterns")
+    p = p.where(F.col("pattern_kind") == kind) if kind else p
+    return p.select(F.col("pattern_id").alias("seq"), F.col("license_name").alias("name"), "text")
+
+
+@query("""SELECT file_id AS path, pattern_id AS seq, license_name AS name FROM files f JOIN patterns p ON contains(f.file_content_normalized, p.text) AND p.text <> ''""")
+def full_license_search(spark: SparkSession, d: str) -> DataFrame:
+    return search.contained(_texts(spark, d), _patterns(spark, d))
+
+
+@query("""SELECT f.file_id AS path, coalesce(string_agg(p.license_name, ',' ORDER BY p.pattern_id), '') AS names, CASE WHEN count(p.pattern_id) > 0 THEN 'EXACT' END AS license_match_strength,
+count(p.pattern_id) > 0 AS has_full_license FROM files f LEFT JOIN patterns p ON contains(f.file_content_normalized, p.text) GROUP BY 1""")
+def full_license_matches(spark: SparkSession, d: str) -> DataFrame:
+    m = search.full_matches(_texts(spark, d), _patterns(spark, d))
+    return m.select("path", F.array_join("license_names", ",").alias("names"), "license_match_strength", "has_full_license")
+
+
+def _sql_terms() -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    rows = ", ".join(f"({quoted(c)}, {i}, {j}, {quoted(t)})" for i, (c, ts) in enumerate(terms.TERMS.items()) for j, t in enumerate(ts))
+    norm = f"trim(regexp_replace(lower({_STRIP.format(c='term')}), '\\s+', ' ', 'g'))"
+    return f"(SELECT category, min(cat_ord) cat_ord, min(term_ord) term_ord, {norm} norm FROM (VALUES {rows}) v(category, cat_ord, term_ord, term) GROUP BY category, norm)"
+
+
+@query(f"""SELECT file_id AS path, category, cat_ord, norm, term_ord FROM files JOIN {_sql_terms()} t ON contains(' ' || file_content_normalized || ' ', ' ' || norm || ' ')""")
+def keyword_search(spark: SparkSession, d: str) -> DataFrame:
+    return search.keywords(_texts(spark, d), terms.frame(spark))
+
+
+@query(f"""SELECT path, string_agg(category || '=' || found, ';' ORDER BY cat_ord) AS matches FROM (
+SELECT file_id AS path, category, cat_ord, string_agg(norm, '|' ORDER BY term_ord) AS found FROM files JOIN {_sql_terms()} t ON contains(' ' || file_content_normalized || ' ', ' ' || norm || ' ') GROUP BY ALL) GROUP BY 1""")
+def keyword_summary(spark: SparkSession, d: str) -> DataFrame:
+    m = search.keyword_map(_texts(spark, d), terms.frame(spark))
+    entries = F.transform(F.map_entries("keyword_matches"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "|")))
+    return m.select("path", F.array_join(entries, ";").alias("matches"))
+
+
+@query(f"""WITH hit AS MATERIALIZED (SELECT file_id AS path, category, norm, file_content_normalized AS text FROM files JOIN {_sql_terms()} t ON contains(file_content_normalized, norm))
+SELECT DISTINCT path, category, norm FROM hit WHERE regexp_matches(text, '(^|[^\\pL\\pN])' || regexp_escape(norm) || '([^\\pL\\pN]|$)')""")
+def keyword_standalone(spark: SparkSession, d: str) -> DataFrame:
+    return search.standalone_keywords(_texts(spark, d), terms.frame(spark))
+
+
+@query(f"""WITH f AS (SELECT file_id, string_split(file_content_normalized, ' ') w FROM files WHERE file_content_normalized <> ''),
+p AS (SELECT pattern_id, string_split(text, ' ') w FROM patterns),
+fg AS ({_GRAMS.format(k="file_id", w="w", t="f")}), pg AS ({_GRAMS.format(k="pattern_id", w="w", t="p")}),
+h AS (SELECT file_id, pattern_id, fg.pos i, pg.pos j FROM fg JOIN pg USING (gram))
+SELECT h.file_id AS path, h.pattern_id AS seq, i, j FROM h JOIN f USING (file_id) JOIN p USING (pattern_id)
+WHERE NOT EXISTS (SELECT 1 FROM h b WHERE b.file_id = h.file_id AND b.pattern_id = h.pattern_id AND b.i = h.i - 1 AND b.j = h.j - 1) AND 2 * least(len(f.w) - i, len(p.w) - j) > len(p.w)""")
+def anchor_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return search.anchor_candidates(_texts(spark, d), _patterns(spark, d))
+
+
+@query()
+def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
+    m = search.fuzzy(_texts(spark, d), _patterns(spark, d, "header"))
+    return m.withColumns({c: F.array_join(c, ",") for c in ("expected_versions", "found_versions")})
+
+
+def _matches(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "match_results").dropDuplicates(["match_id"]).select(F.col("file_id").alias("path"), F.col("match_id").alias("seq"), "license_name", "match_percent", "matched_substring", "expected_versions", "found_versions")
+
+
+_CLASS = "CASE WHEN list_sort(coalesce(expected_versions, [])) = list_sort(coalesce(found_versions, [])) THEN 'ALL' WHEN list_has_any(coalesce(expected_versions, []), coalesce(found_versions, [])) THEN 'COMMON' ELSE 'NONE' END"
+_MATCHES = "(SELECT DISTINCT ON (match_id) file_id AS path, match_id AS seq, license_name, match_percent, matched_substring, expected_versions, found_versions FROM match_results)"
+
+
+@query(f"SELECT path, seq, {_CLASS} AS match_class FROM {_MATCHES}")
+def version_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return _matches(spark, d).select("path", "seq", search.agreement(F.col("expected_versions"), F.col("found_versions")).alias("match_class"))
+
+
+@query(f"""WITH m AS (SELECT path, seq, license_name, coalesce(match_percent, 0.0) p, coalesce(found_versions, []) found, {_CLASS} c FROM {_MATCHES}),
+b AS (SELECT path, min(CASE c WHEN 'ALL' THEN 0 WHEN 'COMMON' THEN 1 ELSE 2 END) r FROM m GROUP BY 1),
+u AS (SELECT m.* FROM m JOIN b USING (path) WHERE CASE c WHEN 'ALL' THEN 0 WHEN 'COMMON' THEN 1 ELSE 2 END = r),
+one AS (SELECT * FROM u WHERE c <> 'COMMON' QUALIFY row_number() OVER (PARTITION BY path ORDER BY (c = 'ALL' AND len(found) > 0) DESC, p DESC, seq) = 1),
+l AS (SELECT path, list(struct_pack(o := seq, n := license_name, p := p, f := found) ORDER BY seq) l FROM u WHERE c = 'COMMON' GROUP BY 1),
+fold AS (SELECT path, list_reduce(list_transform(l, lambda x: struct_pack(best := [x], claimed := x.f)), lambda a, x: CASE
+  WHEN len(list_filter(x.claimed, lambda v: NOT list_contains(a.claimed, v))) > 0
+  THEN struct_pack(best := list_concat(a.best, x.best), claimed := list_append(a.claimed, list_filter(x.claimed, lambda v: NOT list_contains(a.claimed, v))[1])) ELSE a END,
+  struct_pack(best := l[1:0], claimed := l[1].f[1:0])) s FROM l)
+SELECT path, license_name AS selected, c AS match_class, seq AS winner_order, license_name, p AS match_percent FROM one
+UNION ALL SELECT path, array_to_string(list_transform(s.best, lambda x: x.n), ','), 'COMMON', s.best[-1].o, s.best[-1].n, s.best[-1].p FROM fold""")
+def resolve_best(spark: SparkSession, d: str) -> DataFrame:
+    return search.resolve(_matches(spark, d)).withColumn("selected", F.array_join("selected", ","))
+
+
+@query()
+def resolve_in_order(spark: SparkSession, d: str) -> DataFrame:
+    return search.resolve_in_order(_matches(spark, d))
+
+
+# ---- reports
+
+
+@query(f"""SELECT path, license_name, printf('%.2f', coalesce(match_percent, 0.0)) AS percent, array_to_string(coalesce(expected_versions, []), ', ') AS expected, array_to_string(coalesce(found_versions, []), ', ') AS found,
+list_sort(coalesce(expected_versions, [])) <> list_sort(coalesce(found_versions, [])) AS version_mismatch, matched_substring FROM {_MATCHES}""")
+def fuzzy_report(spark: SparkSession, d: str) -> DataFrame:
+    return reports.fuzzy_report(_matches(spark, d))
+
+
+@query("SELECT file_path FROM files WHERE file_is_empty")
+def empty_files(spark: SparkSession, d: str) -> DataFrame:
+    return reports.empty_files(table(spark, d, "files"))
+
+
+@query("SELECT file_path, array_to_string(license_names, ',') AS names FROM files WHERE has_full_license")
+def full_licence_files(spark: SparkSession, d: str) -> DataFrame:
+    return reports.full_licence_files(table(spark, d, "files")).select("file_path", F.array_join("license_names", ",").alias("names"))
+
+
+@query("""SELECT count(*) AS files, count(*) FILTER (is_released) AS released, count(*) FILTER (file_is_empty) AS empty, count(*) FILTER (has_full_license) AS with_full_license FROM files""")
+def totals(spark: SparkSession, d: str) -> DataFrame:
+    return reports.totals(table(spark, d, "files"))
+
+
+@query()
+def csv_report(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "files").drop("license_names")
+    texts = _texts(spark, d)
+    full = search.full_matches(texts, _patterns(spark, d, "full")).select(F.col("path").alias("file_id"), "license_names")
+    best = search.resolve(search.fuzzy(texts, _patterns(spark, d, "header"))).select(F.col("path").alias("file_id"), "match_percent")
+    words = search.keyword_map(texts, terms.frame(spark)).withColumnRenamed("path", "file_id")
+    return reports.csv_rows(files.join(full, "file_id").join(best, "file_id", "left").join(words, "file_id", "left"))
+
+
+@query()
+def snapshot_rows(spark: SparkSession, d: str) -> DataFrame:
+    return reports.snapshot_rows(spread(table(spark, d, "files")))
+
+
+@query("SELECT date_trunc('day', ingested_at) AS start, count(*) AS files, count(*) FILTER (file_is_empty) AS empty FROM files GROUP BY 1")
+def arrivals(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.arrivals(table(spark, d, "files"))
