@@ -44,8 +44,8 @@ def remove(files: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
 
 def new_or_changed(old: DataFrame, new: DataFrame, column: str = "file_hash") -> DataFrame:
     """Rows of `new` whose hash `old` lacks; rows without a hash (null or empty) always, once each."""
-    known = old.where(F.col(column) != "").select(F.lower(column).alias("_h")).distinct()
-    return new.withColumn("_h", F.lower(F.nullif(F.col(column), F.lit("")))).join(known, "_h", "left_anti").drop("_h")
+    known = old.where(F.col(column) != "").select(F.lower(column).alias("_hash_to_compare")).distinct()
+    return new.withColumn("_hash_to_compare", F.lower(F.nullif(F.col(column), F.lit("")))).join(known, "_hash_to_compare", "left_anti").drop("_hash_to_compare")
 
 
 def removed(old: DataFrame, new: DataFrame, column: str = "file_hash") -> DataFrame:

@@ -54,8 +54,10 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def _remove() -> None:
-    for spark, path in _written:
+def clear() -> None:
+    """Remove the tables written so far; for sessions that run many queries, once their results are stored."""
+    while _written:
+        spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
@@ -64,7 +66,7 @@ def _remove() -> None:
             pass
 
 
-atexit.register(_remove)
+atexit.register(clear)
 
 
 def written(df: DataFrame, what: str = "table") -> DataFrame:
