@@ -90,9 +90,13 @@ class Licences:
             text = m["x"]
         if not text or _NOTHING.match(text):
             return None
-        if known := self.known(text):
+        if name := self.names.get(text.lower()):
+            return name
+        # operators are in capitals, or stand between single names; titles have "or" and "and" in them
+        operator = r"\s+(OR|AND|\|\||&&|/)\s+" if not re.fullmatch(r"\(?\S+(\s+(or|and)\s+\S+)+", text) else r"\s+(or|and)\s+"
+        parts = re.split(operator, text.strip("()"))
+        if len(parts) == 1 and (known := self.known(text)):
             return known
-        parts = re.split(r"\s+(OR|AND|\|\||&&|/)\s+", text.strip("()"), flags=re.I)
         if len(parts) > 1:
             got = [self.resolve(p.strip("() ")) for p in parts[::2]]
             if all(got):

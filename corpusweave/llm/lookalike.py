@@ -113,7 +113,7 @@ def _digest(text: str) -> bytes:
 
 
 def same_looking(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: rows whose texts look the same and yet differ. Null and empty texts are left out.
+    """(id_a, id_b), id_a < id_b: rows whose texts look the same and yet differ. Null and empty texts are left out, repeated rows count once.
 
     Only digests are shuffled. Groups in which all texts are the same string are dropped before rows meet; the others'
     pairs are the result itself.
@@ -126,7 +126,7 @@ def same_looking(df: DataFrame, key: str, text: str) -> DataFrame:
             looks = [_digest(skeleton(t)) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(looks, pa.binary()), pa.array([_digest(t) for t in texts], pa.binary())], names=["id", "looks", "own"])
 
-    rows = written(spread(df.select(key, text).where(f"{key} is not null and {text} <> ''")).mapInArrow(run, f"id {kind}, looks binary, own binary"), "looks")
+    rows = written(spread(df.select(key, text).where(f"{key} is not null and {text} <> ''")).mapInArrow(run, f"id {kind}, looks binary, own binary").distinct(), "looks")
     several = rows.groupBy("looks").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least <> most").select("looks")
     rows = rows.join(several, "looks")
     a, b = rows.select("looks", F.col("id").alias("id_a"), F.col("own").alias("own_a")), rows.select("looks", F.col("id").alias("id_b"), F.col("own").alias("own_b"))

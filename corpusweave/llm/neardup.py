@@ -110,10 +110,12 @@ def sketch(texts: DataFrame) -> tuple[np.ndarray, float]:
 
 def signatures(h: np.ndarray, logs: np.ndarray, rare: int, t: Fraction) -> tuple[np.ndarray, bool]:
     """(signatures of a text with the tokens h, does its prefix reach into the frequent ones)."""
+    n = len(h)
+    if not n:
+        return h, False  # fewer words than a run has
     c = logs[h >> np.uint64(64 - BITS)]
     order = np.lexsort((h, c))
     h, c = h[order], c[order]
-    n = len(h)
     skip = n - -(-n * t.numerator // t.denominator)  # n - o
     k = min(n, skip + SHARED)
     if c[k - 1] <= rare:
@@ -266,7 +268,7 @@ def groups(records: DataFrame, threshold: float = 0.6, least_words: int = 20, ra
     """(kind, id, class_id): the group of each record, named by the least id in it; unlike kinds are never in one group.
 
     records (kind string, id long, text string), (kind, id) unique. Words are what blanks separate; null texts and those of
-    fewer than least_words words are left out. A record like no other is a group of its own. rare_most: the count up to
+    fewer than least_words words are left out. A record like no other is a group of its own. Repeated rows count once. rare_most: the count up to
     which a token is rare; by default 64 or, if that is more, four times the sketch's mean. It changes the work, not the result.
     """
     t = Fraction(str(threshold)).limit_denominator(1000)
@@ -276,7 +278,7 @@ def groups(records: DataFrame, threshold: float = 0.6, least_words: int = 20, ra
     records = spread(records.select("kind", "id", "text").where("kind is not null and id is not null and text is not null")).where(words >= max(least_words, 1))
     # equal texts are one text, which goes by a number of its own
     digest = F.struct(F.xxhash64("kind", "text").alias("x"), F.xxhash64(F.lit(7), "text", "kind").alias("y"))
-    every = written(records.select("kind", "id", digest.alias("digest")), "dup-records")
+    every = written(records.select("kind", "id", digest.alias("digest")).distinct(), "dup-records")
     ones = every.groupBy("kind", "digest").agg(F.min("id").alias("one"))
     number = F.xxhash64("kind", F.col("one")).alias("doc")
     members = written(every.join(ones, ["kind", "digest"]).select("kind", "id", "one", number), "dup-members")

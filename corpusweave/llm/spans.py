@@ -136,7 +136,7 @@ def shared_spans(records: DataFrame, length: int = 80) -> DataFrame:
 
     records (kind int, id, tokens array<string>), (kind, id) unique. A position is shared if it lies in a run of `length`
     tokens that another record has too. Null and shorter lists have none; a null token equals only a null token. Positions
-    are from 0, end_tok excluded.
+    are from 0, end_tok excluded. Repeated rows count once.
     """
     if length < 2 * GEAR:
         raise ValueError(f"length must be at least {2 * GEAR}")
@@ -144,7 +144,7 @@ def shared_spans(records: DataFrame, length: int = 80) -> DataFrame:
     lists = spread(records.where(F.size("tokens") >= length).select("kind", "id", "tokens")).select("kind", "id", hashed.alias("hashes"))
     lists = lists.select("kind", "id", F.xxhash64("hashes").alias("record"), "hashes", F.xxhash64(F.lit(1), "hashes").alias("check"))
     kind, key = records.schema["kind"].dataType.simpleString(), records.schema["id"].dataType.simpleString()
-    same = written(lists.select("kind", "id", "record", "check", F.size("hashes").alias("n_tokens")), "span-records")
+    same = written(lists.select("kind", "id", "record", "check", F.size("hashes").alias("n_tokens")).distinct(), "span-records")
     classes = same.groupBy("record", "check").agg(F.count("*").alias("copies"), F.min(F.struct("kind", "id")).alias("one"))
     same = same.join(classes, ["record", "check"])
     whole = same.where("copies > 1").select("kind", "id", "n_tokens", F.lit(0).alias("start_tok"), F.col("n_tokens").alias("end_tok"))
