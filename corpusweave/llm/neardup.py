@@ -33,6 +33,8 @@ from corpusweave.runtime import spread, written
 BITS = 24
 #: Words in a run.
 RUN = 4
+#: Orders by which the centres of stars are drawn.
+ORDERS = 4
 #: Shared signatures asked of two texts whose prefixes are all rare.
 SHARED = 4
 #: Odd multipliers (fixed values, primes).
@@ -290,7 +292,8 @@ def groups(records: DataFrame, threshold: float = 0.6, least_words: int = 20, ra
     most = int(2 ** ((rare + 1 - 32) / 8) * 32) + 1 if rare >= 32 else rare  # the largest count with that byte
     shared = records.sparkSession.sparkContext.broadcast(zlib.compress(logs.tobytes(), 1))
     postings = written(texts.select("kind", "doc", "text").mapInArrow(_postings(shared, rare, t), "sig long, doc long, size int"), "dup-postings")
-    ordered = postings.repartition("sig").sortWithinPartitions("sig", F.xxhash64("doc", "sig"), "doc")
+    # a few orders in all: then the stars of a large group of near-duplicates have few centres, and a text few links to verify
+    ordered = postings.repartition("sig").sortWithinPartitions("sig", F.xxhash64("doc", F.pmod("sig", F.lit(ORDERS))), "doc")
     pairs = written(ordered.mapInArrow(_pairs(most, t), "a long, b long, size_a int, size_b int, over boolean, sig long"), "dup-pairs")
     need = F.ceil((F.shiftright("size_a", 1) + F.shiftright("size_b", 1)) * t.numerator / F.lit(t.numerator + t.denominator))
     both_frequent = F.shiftleft(F.col("size_a"), 31).bitwiseAND(F.shiftleft(F.col("size_b"), 31)) != 0
