@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words in an anchor.
-ANCHOR = 4
+#: Words in an anchor, and in a block of a text whose places are summed up.
+ANCHOR, BLOCK = 4, 512
 
 
 def tokens(text: Column) -> Column:
@@ -17,13 +17,18 @@ def tokens(text: Column) -> Column:
 def with_spans(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """(keep..., pos, word, norm, start_char, end_char): a row for each token; ends excluded, characters are code points.
 
-    The list of words is bound to a column first, and starts are running sums over it, so nothing is split twice.
+    Words are bound to a column and cut into blocks of BLOCK; places are sums over a block and over the blocks before, so
+    the work grows with the text, not with its square.
     """
-    words = df.where(f"{text} is not null").select(*keep, tokens(F.col(text)).alias("_w"))
-    sums = F.aggregate("_w", F.array(F.lit(0)), lambda done, w: F.concat(done, F.array(F.element_at(done, -1) + F.length(w) + 1)))
-    rows = words.select(*keep, "_w", sums.alias("_s")).select(*keep, "_s", F.posexplode("_w").alias("pos", "word"))
-    start = F.element_at("_s", F.col("pos") + 1)
-    return rows.select(*keep, "pos", "word", F.lower("word").alias("norm"), start.alias("start_char"), (start + F.length("word")).alias("end_char"))
+    words = df.where(f"{text} is not null and {text} <> ''").select(*keep, F.split(text, " ").alias("_w"))
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size("_w") / BLOCK).cast("int") - 1), lambda k: F.slice("_w", k * BLOCK + 1, F.lit(BLOCK)))
+    words = words.select(*keep, blocks.alias("_b"))
+    sums = F.aggregate("_b", F.array(F.lit(0)), lambda done, b: F.concat(done, F.array(F.element_at(done, -1) + F.length(F.array_join(b, " ")) + 1)))
+    rows = words.select(*keep, "_b", sums.alias("_s")).select(*keep, "_s", F.posexplode("_b").alias("_k", "_w"))
+    inner = F.aggregate("_w", F.array(F.lit(0)), lambda done, w: F.concat(done, F.array(F.element_at(done, -1) + F.length(w) + 1)))
+    rows = rows.select(*keep, "_k", "_w", F.element_at("_s", F.col("_k") + 1).alias("_o"), inner.alias("_i")).select(*keep, "_k", "_o", "_i", F.posexplode("_w").alias("_p", "word"))
+    start = F.col("_o") + F.element_at("_i", F.col("_p") + 1)
+    return rows.select(*keep, (F.col("_k") * BLOCK + F.col("_p")).alias("pos"), "word", F.lower("word").alias("norm"), start.alias("start_char"), (start + F.length("word")).alias("end_char"))
 
 
 def anchors(words: Column, n: int = ANCHOR) -> Column:

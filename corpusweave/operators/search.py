@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -22,24 +23,23 @@ def small(patterns: DataFrame, column: str = "text", limit: int = BROADCAST) ->
     return F.broadcast(patterns) if size <= limit else patterns
 
 
+def in_blocks(patterns: DataFrame, key: str, column: str, limit: int = BROADCAST) -> list[DataFrame]:
+    """The patterns in blocks whose texts are each within about the limit, marked for broadcast; usually one block."""
+    size = patterns.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    n = size // max(1, limit) + 1
+    return [F.broadcast(patterns if n == 1 else patterns.where(F.pmod(F.xxhash64(key), F.lit(n)) == k)) for k in range(n)]
+
+
 def contained(files: DataFrame, patterns: DataFrame, limit: int = BROADCAST) -> DataFrame:
     """(path, seq, name): patterns whose text is part of a file's text, whatever the token borders. Empty and null texts match nothing.
 
-    files (path, text), patterns (seq, name, text). Containment is no equi-join: within the limit the patterns are broadcast, beyond
-    it a pattern of at least two inner words meets the files that hold its least anchor of inner words.
+    files (path, text), patterns (seq, name, text). Containment is no equi-join: the patterns are a query set that meets all files
+    in blocks of bounded size.
     """
     f = files.where("text is not null and text <> ''").select("path", "text")
     p = patterns.where("text is not null and text <> ''").select("seq", "name", F.col("text").alias("pattern"))
-    size = p.agg(F.sum(F.octet_length("pattern"))).first()[0] or 0
     match = F.contains("text", "pattern") & (F.length("pattern") <= F.length("text"))
-    if size <= limit:
-        return f.join(F.broadcast(p), match).select("path", "seq", "name")
-    inner = F.split("pattern", " ")
-    p = p.withColumn("word", F.when(F.size(inner) > 2, F.array_max(F.slice(inner, 2, F.size(inner) - 2))))
-    words = f.select("path", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
-    # a pattern without inner words is short: all of those together are small
-    short = f.join(F.broadcast(p.where("word is null").drop("word").limit(100_000)), match).select("path", "seq", "name")
-    return words.join(p.where("word is not null"), "word").where(match).select("path", "seq", "name").unionByName(short)
+    return reduce(DataFrame.unionByName, [f.join(block, match).select("path", "seq", "name") for block in in_blocks(p, "seq", "pattern", limit)])
 
 
 def full_matches(files: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -57,17 +57,23 @@ def distinct_terms(terms: DataFrame) -> DataFrame:
     return first.select("category", "o.cat_ord", "o.term_ord", "norm")
 
 
-def keywords(files: DataFrame, terms: DataFrame) -> DataFrame:
+def keywords(files: DataFrame, terms: DataFrame, limit: int = BROADCAST) -> DataFrame:
     """(path, category, cat_ord, norm, term_ord): terms that occur as whole words in the files' normalised texts.
 
-    Words of a term must follow one another. Terms meet files by their first word, an equi-join; texts go along only to check terms
-    of several words.
+    Words of a term must follow one another. A block of terms, of bounded size, comes with the set of its first words: of a
+    file's words only those in the set are rows, and they meet the terms by an equi-join.
     """
     t = distinct_terms(terms).withColumn("word", F.substring_index("norm", " ", 1))
-    f = files.where("text is not null and text <> ''")
-    words = f.select("path", "text", F.explode(F.array_distinct(grams.tokens(F.col("text")))).alias("word"))
+    f = files.where("text is not null and text <> ''").select("path", "text")
     padded = F.concat(F.lit(" "), "text", F.lit(" "))
-    return words.join(small(t, "norm"), "word").where(F.contains(padded, F.concat(F.lit(" "), "norm", F.lit(" ")))).select("path", "category", "cat_ord", "norm", "term_ord")
+    found = []
+    for block in in_blocks(t, "norm", "norm", limit):
+        first = [r.word for r in block.select("word").distinct().collect()]  # no more than the block, which is bounded
+        words = F.array(*[F.lit(w) for w in first]) if len(first) <= 2000 else None
+        mine = grams.tokens(F.col("text"))
+        rows = f.select("path", "text", F.explode(F.array_intersect(mine, words) if words is not None else F.array_distinct(mine)).alias("word")) if first else f.select("path", "text", F.lit("").alias("word")).where("false")
+        found.append(rows.join(block, "word").where(F.contains(padded, F.concat(F.lit(" "), "norm", F.lit(" ")))).select("path", "category", "cat_ord", "norm", "term_ord"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def keyword_map(files: DataFrame, terms: DataFrame) -> DataFrame:
@@ -82,7 +88,7 @@ def standalone_keywords(files: DataFrame, terms: DataFrame) -> DataFrame:
     f = files.where("text is not null and text <> ''").select("path", "text")
     t = terms.where("norm <> ''").select("category", "norm").distinct()
     around = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), "norm", F.lit(r"\E(?![\p{L}\p{N}])"))
-    return f.join(small(t, "norm"), F.contains("text", "norm")).where(F.call_function("rlike", F.col("text"), around)).select("path", "category", "norm")
+    return reduce(DataFrame.unionByName, [f.join(b, F.contains("text", "norm")).where(F.call_function("rlike", F.col("text"), around)).select("path", "category", "norm") for b in in_blocks(t, "norm", "norm")])
 
 
 def align(file: list[str], pattern: list[str], i: int, j: int, anchor: int = grams.ANCHOR, ahead: int = LOOKAHEAD) -> tuple[int, int]:
@@ -176,6 +182,12 @@ def resolve(matches: DataFrame, key: str = "path", order: str = "seq") -> DataFr
         agreement(F.col("expected_versions"), F.col("found_versions")).alias("class"), F.coalesce("found_versions", none).alias("found"),
     )
     m = m.withColumn("rank", F.when(F.col("class") == "ALL", 0).when(F.col("class") == "COMMON", 1).otherwise(2))
+    # of COMMON matches that find the same versions no more than these versions can be taken, the first ones: so the list of a
+    # key that is folded has a bound in its versions, not in its rows
+    common = m.where(F.col("class") == "COMMON").distinct()
+    turn = F.row_number().over(Window.partitionBy(key, "found").orderBy("o", "license_name", "match_percent"))
+    common = common.withColumn("_turn", turn).where("_turn <= size(found)").drop("_turn")
+    m = m.where(F.col("class") != "COMMON").unionByName(common)
     # partial aggregates, no sort by key: the best of ALL and of NONE, and COMMON's list in order
     versioned = (F.col("rank") == 0) & (F.size("found") > 0)
     named = F.struct(versioned.alias("versioned"), F.col("match_percent"), (-F.col("o")).alias("first"), F.col("license_name"), F.col("o"))
