@@ -295,6 +295,11 @@ def keyword_search(spark: SparkSession, d: str) -> DataFrame:
     return search.keywords(_texts(spark, d), terms.frame(spark))
 
 
+@query(f"SELECT category, cat_ord, term_ord, norm FROM {_sql_terms()} t WHERE norm <> ''")
+def distinct_terms(spark: SparkSession, d: str) -> DataFrame:
+    return search.distinct_terms(terms.frame(spark))
+
+
 @query(f"""SELECT path, string_agg(category || '=' || found, ';' ORDER BY cat_ord) AS matches FROM (
 SELECT file_id AS path, category, cat_ord, string_agg(norm, '|' ORDER BY term_ord) AS found FROM files JOIN {_sql_terms()} t ON contains(' ' || file_content_normalized || ' ', ' ' || norm || ' ') GROUP BY ALL) GROUP BY 1""")
 def keyword_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -309,17 +314,34 @@ def keyword_standalone(spark: SparkSession, d: str) -> DataFrame:
     return search.standalone_keywords(_texts(spark, d), terms.frame(spark))
 
 
-@query(f"""WITH f AS (SELECT file_id, string_split(file_content_normalized, ' ') w FROM files WHERE file_content_normalized <> ''),
-p AS (SELECT pattern_id, string_split(text, ' ') w FROM patterns),
+def _sql_heads(where: str = "true") -> str:
+    """CTEs f, p (words of files and patterns) and heads (file_id, pattern_id, i, j)."""
+    return f"""f AS (SELECT file_id, string_split(file_content_normalized, ' ') w FROM files WHERE file_content_normalized <> ''),
+p AS (SELECT pattern_id, license_name, string_split(text, ' ') w FROM patterns WHERE {where}),
 fg AS ({_GRAMS.format(k="file_id", w="w", t="f")}), pg AS ({_GRAMS.format(k="pattern_id", w="w", t="p")}),
-h AS (SELECT file_id, pattern_id, fg.pos i, pg.pos j FROM fg JOIN pg USING (gram))
-SELECT h.file_id AS path, h.pattern_id AS seq, i, j FROM h JOIN f USING (file_id) JOIN p USING (pattern_id)
-WHERE NOT EXISTS (SELECT 1 FROM h b WHERE b.file_id = h.file_id AND b.pattern_id = h.pattern_id AND b.i = h.i - 1 AND b.j = h.j - 1) AND 2 * least(len(f.w) - i, len(p.w) - j) > len(p.w)""")
+h AS (SELECT file_id, pattern_id, fg.pos i, pg.pos j FROM fg JOIN pg USING (gram)),
+heads AS (SELECT h.file_id, h.pattern_id, i, j FROM h JOIN f USING (file_id) JOIN p USING (pattern_id)
+WHERE NOT EXISTS (SELECT 1 FROM h b WHERE b.file_id = h.file_id AND b.pattern_id = h.pattern_id AND b.i = h.i - 1 AND b.j = h.j - 1) AND 2 * least(len(f.w) - i, len(p.w) - j) > len(p.w))"""
+
+
+@query(f"WITH {_sql_heads()} SELECT file_id AS path, pattern_id AS seq, i, j FROM heads")
 def anchor_candidates(spark: SparkSession, d: str) -> DataFrame:
     return search.anchor_candidates(_texts(spark, d), _patterns(spark, d))
 
 
-@query()
+_STEP = """SELECT *, CASE WHEN a = b THEN 0 ELSE coalesce(list_position(fw[x + 2:x + 6], b), 0) END df, CASE WHEN a = b THEN 0 ELSE coalesce(list_position(pw[y + 2:y + 6], a), 0) END dp
+FROM (SELECT s.*, f.w fw, p.w pw, f.w[x + 1] a, p.w[y + 1] b FROM s JOIN f USING (file_id) JOIN p USING (pattern_id) WHERE x < len(f.w) AND y < len(p.w))"""
+
+
+@query(f"""WITH RECURSIVE {_sql_heads("pattern_kind = 'header'")},
+s AS (SELECT file_id, pattern_id, i, j, i + 4 AS x, j + 4 AS y, 4::BIGINT AS m, i + 3 AS last FROM heads
+  UNION ALL SELECT file_id, pattern_id, i, j, CASE WHEN a = b THEN x + 1 WHEN df > 0 AND (dp = 0 OR df <= dp) THEN x + df WHEN dp > 0 THEN x ELSE x + 1 END,
+  CASE WHEN a = b THEN y + 1 WHEN df > 0 AND (dp = 0 OR df <= dp) THEN y WHEN dp > 0 THEN y + dp ELSE y + 1 END,
+  CASE WHEN a = b THEN m + 1 ELSE m END, CASE WHEN a = b THEN x ELSE last END FROM ({_STEP})),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY file_id, pattern_id ORDER BY m DESC, i, j, x DESC, y DESC) = 1),
+r AS (SELECT file_id AS path, pattern_id AS seq, license_name, m / len(p.w) * 100.0 AS match_percent, i::INT AS start_index, last::INT AS end_index, array_to_string(f.w[i + 1:last + 1], ' ') AS matched_substring
+  FROM best JOIN f USING (file_id) JOIN p USING (pattern_id) WHERE m / len(p.w) * 100.0 > 50)
+SELECT *, array_to_string(regexp_extract_all(license_name, '\\d+(\\.\\d+)?'), ',') AS expected_versions, array_to_string({_WHOLE.format(c="matched_substring")}, ',') AS found_versions FROM r""")
 def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
     m = search.fuzzy(_texts(spark, d), _patterns(spark, d, "header"))
     return m.withColumns({c: F.array_join(c, ",") for c in ("expected_versions", "found_versions")})
@@ -397,6 +419,27 @@ def snapshot_rows(spark: SparkSession, d: str) -> DataFrame:
     return reports.snapshot_rows(spread(table(spark, d, "files")))
 
 
+@query("""SELECT repo_id, file_path, lower(file_hash) AS file_hash, array_to_string(coalesce(licenses, []), ',') AS licenses FROM snapshot_primary UNION ALL
+SELECT repo_id, file_path, lower(file_hash), array_to_string(coalesce(licenses, []), ',') FROM snapshot_mirror""")
+def snapshot_union(spark: SparkSession, d: str) -> DataFrame:
+    licences = F.array_join(F.coalesce("licenses", F.array().cast("array<string>")), ",")
+    both = table(spark, d, "snapshot_primary").unionByName(table(spark, d, "snapshot_mirror"))
+    return both.select("repo_id", "file_path", F.lower("file_hash").alias("file_hash"), licences.alias("licenses"))
+
+
+@query("SELECT file_id, coalesce(file_content, '') AS restored FROM files")
+def codec_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    packed = spread(table(spark, d, "files").select("file_id", F.encode(F.coalesce("file_content", F.lit("")), "UTF-8").alias("content"))).select("file_id", T.compress_b64(F.col("content")).alias("packed"))
+    return packed.select("file_id", F.decode(T.decompress_b64(F.col("packed")), "UTF-8").alias("restored"))
+
+
+@query("SELECT m.match_id, (m.end_index - m.start_index + 1) / len(p.tokens) * 100.0 AS span_percent FROM match_results m JOIN (SELECT license_name, arg_min(tokens, pattern_id) AS tokens FROM patterns GROUP BY 1) p ON lower(p.license_name) = lower(m.license_name)")
+def match_span_percent(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "patterns").groupBy(F.lower("license_name").alias("name")).agg(F.min_by(F.size("tokens"), "pattern_id").alias("n"))
+    m = table(spark, d, "match_results").withColumn("name", F.lower("license_name")).join(p, "name")
+    return m.select("match_id", T.match_percent(F.col("end_index") - F.col("start_index") + 1, F.col("n")).alias("span_percent"))
+
+
 @query("SELECT date_trunc('day', ingested_at) AS start, count(*) AS files, count(*) FILTER (file_is_empty) AS empty FROM files GROUP BY 1")
 def arrivals(spark: SparkSession, d: str) -> DataFrame:
     return incremental.arrivals(table(spark, d, "files"))
