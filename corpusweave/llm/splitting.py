@@ -12,6 +12,7 @@ of a piece, encoded on its own, are its units, and no piece has to be encoded ag
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -25,33 +26,61 @@ from corpusweave.llm.tokenizing import TOKENIZERS, encode_all, encoding
 from corpusweave.runtime import spread
 
 # Blanks and line ends at a cut go with what follows: there they are the pre-tokens that they are in the whole text, while
-# behind a cut's last word they would be read as one.
-_WORD = re.compile(r"(?<=\S)(?=\s)")
-_SENTENCE = re.compile(r"(?<=[.!?。！？…])(?=\s)|(?<=[。！？])(?=\w)")
-_LINE = re.compile(r"(?<=\S)(?=[^\S\n]*\n)")
-_PARAGRAPH = re.compile(r"(?<=\S)(?=[^\S\n]*\n[^\S\n]*\n)")
-_HEADING = re.compile(r"(?<=\S)(?=\s*\n(?:#{1,6} \S|[^\n]{1,80}\n(?:={3,}|-{3,})\n))")
-
-
-def units(enc, text: str, ids: list[int]) -> tuple[str, np.ndarray]:
+# behind a cut's last word they would be read as one. So a boundary lies where a run of blanks begins, and its strength is what the
+# run holds: no line end, one, several, or several and a heading behind it.
+_HEADING = re.compile(r"^(?=#{1,6} \S|[^\n]{1,80}\n(?:={3,}|-{3,})$)", re.M)
+# Bits of a character's class: white space, the end of a sentence before white space, and the end anywhere.
+_BLANK, _STOP, _FULL_STOP = 1, 2, 4
+_CLASS = np.zeros(0x10000, np.uint8)
+_CLASS[[c for c in range(0x3001) if chr(c).isspace()]] = _BLANK
+_CLASS[[ord(c) for c in ".!?…"]] = _STOP
+_CLASS[[ord(c) for c in "。！？"]] = _STOP | _FULL_STOP
+
+
+@functools.lru_cache(maxsize=4)
+def _lengths(name: str, folder: str) -> np.ndarray:
+    """Bytes of each token."""
+    enc = encoding(name, folder)
+    return np.array([len(enc.decode_single_token_bytes(i)) for i in range(enc.n_vocab)], np.int64)
+
+
+def _marks(text: str) -> list[tuple[str, np.ndarray]]:
+    """(kind, where in characters) of the boundaries of a text, the weakest kind first."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    of = _CLASS[np.minimum(c, 0xFFFF)]
+    blank = of == _BLANK
+    starts = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
+    ends = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+    ends = np.append(ends[ends > (starts[0] if len(starts) else 0)], len(c))[: len(starts)]
+    feeds = np.concatenate([[0], np.cumsum(c == 10)])
+    lines = feeds[ends] - feeds[starts]
+    stops = np.flatnonzero((of[:-1] & _FULL_STOP > 0) & (of[1:] == 0)) + 1
+    stops = stops[[text[i].isalnum() for i in stops]] if len(stops) else stops
+    heads = np.fromiter((m.start() for m in _HEADING.finditer(text)), np.int64) if "#" in text or "\n===" in text or "\n---" in text else np.empty(0, np.int64)
+    sentence = np.concatenate([starts[of[starts - 1] & _STOP > 0], stops])
+    return [("W", starts), ("S", sentence), ("L", starts[lines >= 1]), ("P", starts[lines >= 2]), ("H", starts[(lines >= 1) & np.isin(ends, heads)])]
+
+
+def units(text: str, ids: list[int], lengths: np.ndarray) -> tuple[str, np.ndarray]:
     """(a character a token, the end of each token in characters)."""
-    ends = np.cumsum(np.fromiter(map(len, enc.decode_tokens_bytes(ids)), np.int64, len(ids)))
+    raw = np.frombuffer(text.encode() + b" ", np.uint8)
+    ends = np.cumsum(lengths[ids])
     kinds = np.full(len(ids), ord("C"), np.uint8)
+    kinds[raw[ends] == ord("'")] = ord("x")  # a contraction would be read anew there
     if not text.isascii():
-        starts = (np.frombuffer(text.encode() + b" ", np.uint8) & 0xC0) != 0x80
+        starts = (raw & 0xC0) != 0x80
         whole = starts[ends]
         ends = np.cumsum(starts)[ends] - 1
         kinds[~whole] = ord("x")
     else:
         whole = np.ones(len(ids), bool)
-    follows = np.array([text[e : e + 1] == "'" for e in ends]) if "'" in text else np.zeros(len(ids), bool)
-    kinds[follows] = ord("x")  # a contraction would be read anew there
-    for kind, rx in (("W", _WORD), ("S", _SENTENCE), ("L", _LINE), ("P", _PARAGRAPH), ("H", _HEADING)):
-        at = np.fromiter((m.start() for m in rx.finditer(text)), np.int64)
-        if len(at):
-            kinds[np.isin(ends, at) & whole] = ord(kind)
+    at = np.full(len(text) + 1, 0, np.uint8)
+    for kind, where in _marks(text):
+        at[where] = ord(kind)
+    strong = at[ends]
+    kinds = np.where((strong > 0) & whole, strong, kinds)
     kinds[-1] = ord("E")
-    return kinds.tobytes().decode("latin-1"), ends
+    return kinds.astype(np.uint8).tobytes().decode("latin-1"), ends
 
 
 def pieces_pattern(body: int) -> str:
@@ -74,7 +103,7 @@ def split(df: DataFrame, limit: int = 512, overlap: int = 32, key: str = "doc_id
     schema = T.StructType([T.StructField(key, kind), T.StructField(text, T.StringType()), T.StructField("units", T.StringType()), T.StructField("ends", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(name, folder)
+        enc, lengths = encoding(name, folder), _lengths(name, folder)
         for b in batches:
             texts = b.column(1).to_pylist()
             at, strings, ends = [], [], []
@@ -82,7 +111,7 @@ def split(df: DataFrame, limit: int = 512, overlap: int = 32, key: str = "doc_id
             long = [i for i, t in enumerate(texts) if t and (len(t) > limit or len(t) * 4 > limit and len(t.encode()) > limit)]
             for i, ids in zip(long, encode_all(enc, [texts[i] for i in long])):
                 if len(ids) > limit:
-                    u, e = units(enc, texts[i], ids)
+                    u, e = units(texts[i], ids, lengths)
                     at.append(i), strings.append(u), ends.append(e.astype(np.int32))
             got = b.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([got.column(0), got.column(1), pa.array(strings, pa.string()), pa.array(ends, pa.list_(pa.int32()))], names=[key, text, "units", "ends"])
