@@ -77,7 +77,7 @@ def _word(m: regex.Match) -> str:
 
 
 def _spliced(line: str, letters: bool) -> str:
-    f = _all_folds() if letters else folds()
+    f = all_folds() if letters else folds()
     return _unstable(letters).sub(lambda m: unicodedata.normalize("NFC", "".join([f.get(c, c) for c in m.group()])), line)
 
 
@@ -99,7 +99,8 @@ def canonical(text: str | None) -> str | None:
 
 
 @functools.lru_cache(maxsize=1)
-def _all_folds() -> dict[str, str]:
+def all_folds() -> dict[str, str]:
+    """Folds and look-alike letters."""
     return folds() | LETTERS
 
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusweave.llm.lookalike import all_folds
 from corpusweave.runtime import spread
 
 CHUNK = 1 << 16
@@ -51,7 +52,7 @@ _USER = re.compile(r"""-u[ =]?["']?([A-Za-z0-9_.-]+):([^\s"']+)""")
 _BEARER = re.compile(r"bearer[ \t]+([A-Za-z0-9._~+/=-]{8,})", re.I)
 _BASIC = re.compile(r"basic[ \t]+([A-Za-z0-9+/]{8,}={0,2})", re.I)
 _NO = re.compile(EXAMPLES, re.I)
-_REFERENCE = re.compile(r"\$|%\(|\{\{|#\{|^%|^@|^&|^env[:.]|^vault[:.]|^ref[:+]|^file:|^/|^\.\.?/|^arn:|^https?:|os\.environ|getenv|process\.env", re.I)
+_REFERENCE = re.compile(r"\$|%\(|\{\{|#\{|^%\w+%$|^@|^&|^env[:.]|^vault[:.]|^ref[:+]|^file:|^/|^\.\.?/|^arn:|^https?:|os\.environ|getenv|process\.env", re.I)
 _NOTHING = {"", "none", "null", "nil", "true", "false", "undefined", "password", "passwd", "pass", "pwd", "secret", "token", "user", "username", "test", "root", "admin"}
 
 
@@ -96,9 +97,13 @@ def usable(value: str) -> bool:
 _WORDS = re.compile(r"[a-z]+(?:[_.-][a-z]+)*|[A-Z]+(?:[_.-][A-Z]+)*|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*(?:[_.-][A-Z]?[a-z]+(?:[A-Z][a-z]+)*)*")
 
 
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_UNSPEAKABLE = re.compile(r"[^aeiouy]{5}|^[^aeiouy]{4,}$")
+
+
 def _varied(value: str) -> bool:
-    """Not just words, however they are joined."""
-    return not _WORDS.fullmatch(value)
+    """Not just words, however they are joined; what can't be spoken is no word."""
+    return not _WORDS.fullmatch(value) or any(_UNSPEAKABLE.search(p.lower()) for p in _PART.findall(value))
 
 
 def _name(text: str, start: int, end: int) -> list[tuple[int, int]]:
@@ -137,10 +142,40 @@ def _name(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return []
 
 
+def _folded(text: str) -> tuple[str, list[int] | None]:
+    """The text with look-alike and invisible characters folded one by one, and where each character comes from."""
+    if text.isascii():
+        return text, None
+    folds, out, back, at = all_folds(), [], [], 0
+    for line in text.split("\n"):
+        if line.isascii() or not any(c in folds for c in line):
+            out.append(line)
+            back.extend(range(at, at + len(line) + 1))
+        else:
+            new = [folds.get(c, c) for c in line]
+            out.append("".join(new))
+            for i, c in enumerate(new):
+                back.extend([at + i] * len(c))
+            back.append(at + len(line))
+        at += len(line) + 1
+    return "\n".join(out), back
+
+
 def find(text: str | None) -> list[tuple[list[tuple[int, int]], int, str]]:
-    """(spans of the value, where it stands or begins, kind) of each credential of a text."""
+    """(spans of the value, where it stands or begins, kind) of each credential of a text.
+
+    Look-alike characters hide nothing: grammars read the folded text, spans are those of the text itself.
+    """
     if not text:
         return []
+    text, back = _folded(text)
+    found = _find(text)
+    if back is None:
+        return found
+    return [([(back[a], back[b - 1] + 1) for a, b in spans if b > a], back[start], kind) for spans, start, kind in found]
+
+
+def _find(text: str) -> list[tuple[list[tuple[int, int]], int, str]]:
     out = []
     for start, end, kind, word in hits(text):
         if kind == "armor":
