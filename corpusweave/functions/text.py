@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
 import zlib
 
@@ -32,22 +33,25 @@ def strip_punctuation(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\\&\.", "."), PUNCTUATION, "")
 
 
+_SIGNS = re.compile(r"[!-\-/:-@\[-`{-~]+|\.")
+
+
 def _strip(s: str) -> str:
     """Punctuation for text beyond ASCII, where digits of any script keep a dot."""
     s = s.replace("\\&.", ".")
-    out = []
-    for i, c in enumerate(s):
-        if c == ".":
-            if 0 < i < len(s) - 1 and s[i - 1].isdigit() and s[i + 1].isdigit():
-                out.append(c)
-        elif not (c.isascii() and unicodedata.category(c)[0] in "PS"):
-            out.append(c)
-    return "".join(out)
+
+    def one(m: re.Match) -> str:
+        a, b = m.span()
+        return "." if m.group() == "." and 0 < a and b < len(s) and s[a - 1].isdigit() and s[b].isdigit() else ""
+
+    return _SIGNS.sub(one, s)
 
 
 def _fold(s: str) -> str:
     s = unicodedata.normalize("NFKC", s)
-    return " ".join("".join([c for c in s if unicodedata.category(c)[0] != "M"]).casefold().split())
+    if marks := [c for c in set(s) if unicodedata.category(c)[0] == "M"]:
+        s = s.translate(dict.fromkeys(map(ord, marks)))
+    return " ".join(s.casefold().split())
 
 
 @F.pandas_udf(StringType())
