@@ -52,18 +52,17 @@ _CONTROL = re.compile(r"[\x00-\x08\x0b-\x1f\x7f-\x9f]")
 
 
 @functools.lru_cache(maxsize=1)
-def _loose() -> tuple[dict[int, bytes], dict[str, dict[int, int]]]:
+def _loose() -> dict[str, set[int]]:
     """Characters that stand for bytes a Windows code page leaves undefined: such bytes are commonly read as C1 controls."""
     tables = {}
     for name in ("cp1252", "cp1250", "cp1251", "cp1253"):
-        table = {}
+        tables[name] = set()
         for b in range(0x80, 0xA0):
             try:
                 bytes([b]).decode(name)
             except UnicodeDecodeError:
-                table[b] = b
-        tables[name] = table
-    return {}, tables
+                tables[name].add(b)
+    return tables
 
 
 def _encode(text: str, name: str) -> bytes | None:
@@ -71,7 +70,7 @@ def _encode(text: str, name: str) -> bytes | None:
         return text.encode(name)
     except UnicodeEncodeError:
         pass
-    undefined = _loose()[1].get(name)
+    undefined = _loose().get(name)
     if undefined and any(ord(c) in undefined for c in set(text)):
         try:
             return b"".join([bytes([ord(c)]) if ord(c) in undefined else c.encode(name) for c in text])
