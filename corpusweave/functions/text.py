@@ -179,8 +179,8 @@ def _inflated(x: pd.Series) -> pd.Series:
 
 
 def compress_b64(content: Column) -> Column:
-    """zlib and base64, for interchange; empty stays empty."""
-    return F.when(F.length(content) == 0, "").otherwise(F.base64(_deflated(F.when(F.length(content) > 0, content))))
+    """zlib and base64 without line breaks, for interchange; empty stays empty."""
+    return F.when(F.length(content) == 0, "").otherwise(F.replace(F.base64(_deflated(F.when(F.length(content) > 0, content))), F.lit("\r\n"), F.lit("")))
 
 
 def decompress_b64(text: Column) -> Column:

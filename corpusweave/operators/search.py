@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusweave.functions import grams
-from corpusweave.functions.text import NUMBER, versions_in_text, versions_of_name, whole_numbers
+from corpusweave.functions.text import versions_in_text, versions_of_name, whole_numbers
 
 #: Most bytes of pattern texts that are broadcast; more are joined by their anchors without a broadcast.
 BROADCAST = 64_000_000
@@ -241,7 +241,3 @@ def resolve_in_order(matches: DataFrame, key: str = "path", order: str = "seq")
 
     return by.select(key, F.aggregate("l", zero, step).alias("r")).where("r.name is not null").select(key, F.col("r.name").alias("license_name"), F.col("r.p").alias("match_percent"))
 
-
-__all__ = [
-    "NUMBER", "agreement", "align", "anchor_candidates", "contained", "distinct_terms", "full_matches", "fuzzy", "keyword_map", "keywords", "resolve", "resolve_in_order", "small", "standalone_keywords",
-]

@@ -1,5 +1,7 @@
+import base64
 import hashlib
 import unicodedata
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +77,8 @@ def test_bytes(spark):
         assert column(spark, raw, lambda c, n=name: T.digest(c, n), "binary") == [None if r is None else hashlib.new(name, r).hexdigest() for r in raw]
     with pytest.raises(ValueError):
         T.digest(F.lit("x"), "nothing")
+    noise = hashlib.sha512(b"x").digest() * 3
+    assert column(spark, [noise], T.compress_b64, "binary") == [base64.b64encode(zlib.compress(noise)).decode()]
     assert [None if x is None else bytes(x) for x in column(spark, [*raw, b"x" * 100_000], lambda c: T.decompress_b64(T.compress_b64(c)), "binary")] == [*raw, b"x" * 100_000]
 
 
