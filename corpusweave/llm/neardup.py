@@ -10,8 +10,8 @@ hash, and as two similar texts share l of them, they share two of one class; so
 number stays in proportion to the text. Pairs of texts that share too few signatures are dropped, the others verified exactly.
 
 Groups of texts with one signature of more than `rare` texts aren't expanded into pairs. They give a star around a text drawn by
-hash; after the components of all verified links are known, what lies in another component than most of such a group is
-compared with the rest of it. So no link between different components is lost, and a large group of near-duplicates costs
+hash, and a mark whatever the star holds; after the components of all verified links are known, what lies in another component than
+most of a marked group is compared with the rest of it. So no link between different components is lost, and a large group of near-duplicates costs
 a few links a text. Texts that are equal are one text throughout.
 """
 
@@ -172,7 +172,10 @@ def hash_kind(kind: str) -> int:
 
 
 def _pairs(most: int, t: Fraction):
-    """Over postings sorted by signature: all pairs of groups of up to `most`, else the star around the first."""
+    """Over postings sorted by signature: all pairs of groups of up to `most`, else the star around the first.
+
+    A group of more has one row that is marked `over`, of the first with itself: the sizes of a star's texts may leave no pair.
+    """
     ratio = float(t) * (1 - 1e-9)
 
     def emit(sig, doc, size, lo, hi):
@@ -185,18 +188,20 @@ def _pairs(most: int, t: Fraction):
             i, j = np.triu_indices(n, 1)
             a, b = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
             for s in range(0, len(a), 1_000_000):
-                yield from pairs(sig, doc, size, a[s : s + 1_000_000], b[s : s + 1_000_000], False)
+                yield from pairs(sig, doc, size, a[s : s + 1_000_000], b[s : s + 1_000_000])
+
+    def rows(sig, doc, size, a, b, over):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(doc[a]), pa.array(doc[b]), pa.array(size[a]), pa.array(size[b]), pa.array(np.full(len(a), over)), pa.array(sig[a])], names=["a", "b", "size_a", "size_b", "over", "sig"]
+        )
 
-    def pairs(sig, doc, size, a, b, over):
+    def pairs(sig, doc, size, a, b):
         na, nb = size[a] >> 1, size[b] >> 1
         good = (np.minimum(na, nb) >= ratio * np.maximum(na, nb)) & (doc[a] != doc[b])
         a, b = a[good], b[good]
         if len(a):
             swap = doc[a] > doc[b]
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[a]), pa.array(doc[b]), pa.array(size[a]), pa.array(size[b]), pa.array(np.full(len(a), over)), pa.array(sig[a])], names=["a", "b", "size_a", "size_b", "over", "sig"]
-            )
+            yield rows(sig, doc, size, np.where(swap, b, a), np.where(swap, a, b), False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
@@ -209,7 +214,7 @@ def _pairs(most: int, t: Fraction):
                 n = int(np.searchsorted(sig != star[0], True)) if (sig != star[0]).any() else len(sig)
                 if n:
                     s, d, z = (np.concatenate([[x], y[:n]]).astype(y.dtype) for x, y in zip(star, (sig, doc, size)))
-                    yield from pairs(s, d, z, np.zeros(n, np.int64), np.arange(1, n + 1), True)
+                    yield from pairs(s, d, z, np.zeros(n, np.int64), np.arange(1, n + 1))
                     sig, doc, size = sig[n:], doc[n:], size[n:]
                 if not len(sig):
                     rest = [sig, doc, size]
@@ -225,8 +230,10 @@ def _pairs(most: int, t: Fraction):
                 star = (sig[lo[-1]], doc[lo[-1]], size[lo[-1]])
             small = hi - lo <= most
             yield from emit(sig, doc, size, lo[small], hi[small])
-            for x, y in zip(lo[~small], hi[~small]):
-                yield from pairs(sig, doc, size, np.full(y - x - 1, x), np.arange(x + 1, y), True)
+            if len(large := lo[~small]):
+                yield rows(sig, doc, size, large, large, True)
+            for x, y in zip(large, hi[~small]):
+                yield from pairs(sig, doc, size, np.full(y - x - 1, x), np.arange(x + 1, y))
         sig, doc, size = rest
         if len(sig):
             yield from emit(sig, doc, size, np.array([0]), np.array([len(sig)]))
@@ -298,13 +305,13 @@ def groups(records: DataFrame, threshold: float = 0.6, least_words: int = 20, ra
     need = F.ceil((F.shiftright("size_a", 1) + F.shiftright("size_b", 1)) * t.numerator / F.lit(t.numerator + t.denominator))
     both_frequent = F.shiftleft(F.col("size_a"), 31).bitwiseAND(F.shiftleft(F.col("size_b"), 31)) != 0
     enough = F.when(both_frequent, 1).otherwise(F.least(F.lit(SHARED), need))
-    candidates = pairs.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= enough).select("a", "b")
+    candidates = pairs.where("not over").groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= enough).select("a", "b")
     links = written(_links(candidates, texts, t), "dup-links")
     named = components(links)
 
     if pairs.where("over").limit(1).count():
         named = written(named, "dup-components")
-        large = postings.join(pairs.where("over").select("sig").distinct(), "sig").join(named.withColumnRenamed("node", "doc"), "doc", "left")
+        large = postings.join(pairs.where("over").select("sig"), "sig").join(named.withColumnRenamed("node", "doc"), "doc", "left")
         large = written(large.select("sig", "doc", "size", F.coalesce("component", "doc").alias("component")), "dup-large")
         main = large.groupBy("sig", "component").count().groupBy("sig").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("n")).where("n > 1")
         out = large.join(main, "sig").where("component <> main").select("sig", "doc", F.col("size").alias("s"), F.col("component").alias("c"))

@@ -154,6 +154,21 @@ def test_every_link_shares_signatures():
                 assert shared >= need
 
 
+def test_a_centre_of_another_size_loses_no_link(spark):
+    """Two texts share signatures only with a short text that is the first of each large group and no partner of theirs."""
+    orders = [F.xxhash64(F.xxhash64(F.lit("file"), "id"), F.lit(k).cast("long")).alias(f"h{k}") for k in range(neardup.ORDERS)]
+    ids = sorted((max(r[1:]), min(r[1:]), r.id) for r in spark.range(3000).select("id", *orders).collect())
+    short = ids[0][2]
+    a, b = [i for _, least, i in ids if least > ids[0][0]][:2]
+    common = [f"c{i}" for i in range(33)]
+    rows = [("file", short, " ".join(common[:23]))] + [("file", i, " ".join(common + [f"{i}x{j}" for j in range(10)])) for i in (a, b)]
+    rows += [("pattern", i, " ".join([*common[10:], f"p{i}"])) for i in range(6)]  # they make the later runs less rare
+    expected = brute_groups(rows)
+    assert expected["file", a] == expected["file", b] != expected["file", short]
+    df = spark.createDataFrame(rows, "kind string, id long, text string")
+    assert {(r.kind, r.id): r.class_id for r in neardup.groups(df, rare_most=1).collect()} == expected
+
+
 def test_nothing_else_imports_this_subpackage():
     from pathlib import Path
 
