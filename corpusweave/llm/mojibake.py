@@ -113,24 +113,36 @@ def _restored(text: str) -> list[tuple[int, str]]:
     return out
 
 
+def _ascii(text: str) -> str:
+    return re.sub(r"[^\x00-\x7f]", "", text)
+
+
 def plain(line: str) -> str:
     """The line with words that merely hold look-alike or invisible characters in ASCII: they are no evidence."""
     words = line.split(" ")
     return " ".join([w if w.isascii() or not (s := skeleton(w)).isascii() else s for w in words])
 
 
-def candidates(line: str) -> list[tuple[int, str]]:
-    """(chain, text) of a line, the null chain first. Where no chain fits the whole line, chains are undone word by word."""
+def candidates(line: str) -> list[tuple[int, str, str]]:
+    """(chain, text to score, restored line), the null chain first. Where no chain fits the whole line, chains are undone word by word.
+
+    Look-alikes are no evidence: the null chain is also scored with them in ASCII, and so are words that a chain leaves as they
+    are. But chains are undone on the line itself, as a letter of garbled text may look like another by chance.
+    """
     if "�" in line:
-        return [(1, line)]
-    out = _restored(line)
+        return [(1, line, line)]
+    null = [(0, x, line) for x in dict.fromkeys([plain(line), line])]
+    out = [(c, x, x) for c, x in _restored(line)]
     if " " in line:
-        have = {c for c, _ in out}
+        have = {c for c, _, _ in out}
         words = line.split(" ")
+        folded = [plain(w) for w in words]
         parts = {w: dict(_restored(w)) for w in set(words) if not w.isascii()}
         for c in set().union(*parts.values()) - have if len(parts) > 1 or not out else ():
-            out.append((c, " ".join([parts[w].get(c, w) if w in parts else w for w in words])))
-    return [(0, line), *out]
+            out.append((c, *(" ".join([parts[w].get(c, x) if w in parts else w for w, x in zip(words, rest)]) for rest in (folded, words))))
+    if null[0][1].isascii():  # look-alikes alone: a chain that makes letters of ASCII ones has no evidence but a shorter text
+        out = [x for x in out if _ascii(x[2]) == _ascii(line)]
+    return null + out
 
 
 class Model:
@@ -166,10 +178,9 @@ class Model:
 class Scored:
     """A line's candidates and their likelihoods: what is the same for every source."""
 
-    def __init__(self, found: list[tuple[int, str]], model: Model):
-        self.chains = np.array([c for c, _ in found])
-        self.texts = [t for _, t in found]
-        self.logs = np.array([model.score(t) for t in self.texts]) if len(found) > 1 else np.zeros(1)
+    def __init__(self, chains: list[int], texts: list[str], model: Model):
+        self.chains = np.array(chains)
+        self.logs = np.array([model.score(t) for t in texts]) if len(texts) > 1 else np.zeros(1)
 
     def posterior(self, log_prior: np.ndarray) -> np.ndarray:
         logs = self.logs + log_prior[self.chains]
@@ -185,7 +196,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[tuple[int, str], int] = {}
 
     def out():
-        rows = [(s, x, n) for (s, raw), n in counts.items() if not (x := plain(raw)).isascii()]
+        rows = [(s, x, n) for (s, x), n in counts.items()]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["source", "line", "n"])
 
     for b in batches:
@@ -231,10 +242,10 @@ def _expect(state):
                     counts[sources, 0] += ns
                     new.add(texts[0], sum(ns))
                     continue
-                line, weights = Scored(list(zip(chains, texts)), model), np.zeros(len(chains))
+                line, weights = Scored(chains, texts, model), np.zeros(len(chains))
                 for s, n in zip(sources, ns):
                     p = n * line.posterior(priors[s])
-                    counts[s, line.chains] += p
+                    np.add.at(counts[s], line.chains, p)  # the null chain may be there twice
                     weights += p
                 for text, w, c in zip(texts, weights, chains):
                     if w > 1e-4 and c != 1:
@@ -298,7 +309,7 @@ def repair(df: DataFrame, key: str, source: str, text: str, rounds: int = ROUNDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, priors = _unpacked(shared.value)
-        scored: dict[str, Scored | None] = {}
+        scored: dict[str, tuple[Scored, list[str]]] = {}
         known: dict[tuple[int, str], tuple[int, str]] = {}
         for b in batches:
             rows = []
@@ -316,14 +327,11 @@ def repair(df: DataFrame, key: str, source: str, text: str, rounds: int = ROUNDS
                         if body not in scored:
                             if len(scored) > 50_000:
                                 scored.clear()
-                            p = plain(body)
-                            scored[body] = None if p.isascii() else Scored(candidates(p), model)
-                        line = scored[body]
-                        if line is None:
-                            best = (0, body)
-                        else:
-                            j = int(np.argmax(line.logs + priors[g][line.chains]))
-                            best = (int(line.chains[j]), line.texts[j])
+                            of, texts, restored = map(list, zip(*candidates(body)))
+                            scored[body] = Scored(of, texts, model), restored
+                        line, restored = scored[body]
+                        j = int(np.argmax(line.logs + priors[g][line.chains]))
+                        best = (int(line.chains[j]), restored[j])
                         if len(known) > 200_000:
                             known.clear()
                         known[g, body] = best

@@ -84,6 +84,21 @@ def test_garbled_text_is_found_and_restored(spark):
     assert mojibake.repair(df.where("file_id = 902"), "file_id", "repo_id", "file_content").count() == 0
 
 
+def test_letters_that_look_alike_by_chance_are_restored(spark):
+    """Western text read as Windows-1251, Russian read in another Cyrillic encoding: some words are all look-alikes."""
+    spanish = ["dirección única del módulo", "año de la señal más reciente", "el índice quedó dañado", "la última versión", "sección añadida"]
+    random.seed(5)
+    rows = [(i, i % 5, "\n".join([*random.sample(spanish, 3), *random.sample([*CLEAN, "слить обе ветки позже"], 3)])) for i in range(300)]
+    bad = [[x.encode("cp1252").decode("cp1251") for x in random.sample(spanish, 4)] for _ in range(12)] + [[x] for x in ("sección añadida".encode("cp1252").decode("cp1251"), "слить обе ветки позже".encode("koi8-r").decode("cp1251"))]
+    assert mojibake.plain(bad[-2][0]).isascii()  # each garbled word is of this kind
+    rows += [(1000 + i, 1, "\n".join(x)) for i, x in enumerate(bad)]
+    rows += [(2000, 1, "gаrvеl and so\u00adft"), (2001, 1, "read\u202fthe\u00a0cursor of\u2007one"), (2002, 1, "# \\\\x00\\\\хff auditors draft")]
+    df = spark.createDataFrame(rows, "file_id long, repo_id long, file_content string")
+    got = {r.file_id: r.restored for r in mojibake.repair(df, "file_id", "repo_id", "file_content").collect()}
+    right = {1000 + i: "\n".join(y.encode("cp1251").decode("koi8-r" if y.isupper() else "cp1252") for y in x) for i, x in enumerate(bad)}
+    assert got == right
+
+
 # ---- credentials
 
 FOUND = [
