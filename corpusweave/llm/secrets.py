@@ -46,13 +46,20 @@ _SIGN = re.compile(r"""["']?\]?[ \t]*(?::=|=>|[:=])[ \t]*""")
 _QUOTED = re.compile(r"""[bfru]?(["'`])((?:(?!\1)[^\\\n]|\\.)*)\1""")
 _MORE = re.compile(r"""[ \t]*(?:\+|\.)?[ \t]*\\?(?:\r?\n[ \t]*)?[ \t]*(?:\+[ \t]*)?(["'])((?:(?!\1)[^\\\n])*)\1""")
 _BARE = re.compile(r"""[^\s"'`,;)\]}<>]+""")
-_FLAG = re.compile(r"""[ =](?:(["'])([^"'\n]+)\1|([^\s"'`<>$]+))""")
+_FLAG = re.compile(r"""[ =](?:(["'])([^"'\n]+)\1|([^\s"'`<>]+))""")
 _ADDRESS = re.compile(r"://([^\s/:@\"'<>]*):([^\s/@\"'<>]+)@[A-Za-z0-9\[]")
 _USER = re.compile(r"""-u[ =]?["']?([A-Za-z0-9_.-]+):([^\s"']+)""")
 _BEARER = re.compile(r"bearer[ \t]+([A-Za-z0-9._~+/=-]{8,})", re.I)
 _BASIC = re.compile(r"basic[ \t]+([A-Za-z0-9+/]{8,}={0,2})", re.I)
 _NO = re.compile(EXAMPLES, re.I)
-_REFERENCE = re.compile(r"\$|%\(|\{\{|#\{|^%\w+%$|^@|^&|^env[:.]|^vault[:.]|^ref[:+]|^file:|^/|^\.\.?/|^arn:|^https?:|os\.environ|getenv|process\.env", re.I)
+# what is filled in within a value, closed or cut off; a variable, with members, a path or more variables behind it, as the whole value
+_INSERTED = re.compile(r"\$\{[^}]*(?:\}|$)|\$\([^)]*(?:\)|$)|%\([^)]*(?:\)\w?|$)|\{\{.*?(?:\}\}|$)|#\{[^}]*(?:\}|$)")
+_VARIABLE = re.compile(r"\$\$?[A-Za-z_]\w*(?:-$|(?:->|::|[.:/])\$?\w*)*")
+# a password's hash, which nobody can log in with
+_HASH = re.compile(r"\$(?:1|2[abxy]?|5|6|7|y|apr1|argon2\w*|scrypt|pbkdf2[\w-]*)\$.+")
+_REFERENCE = re.compile(r"^%\w+%$|^@|^&|^env[:.]|^vault[:.]|^ref[:+]|^file:|^/|^\.\.?/|^arn:|^https?:|os\.environ|getenv|process\.env", re.I)
+# Words that end with a secret's name and mean something else.
+_OTHER_WORDS = {"compass", "encompass", "bypass", "trespass", "surpass", "underpass", "overpass", "lowpass", "highpass", "bandpass", "allpass", "subpass", "renderpass", "multipass", "singlepass", "firstpass", "subtoken", "pretoken", "nexttoken"}
 _NOTHING = {"", "none", "null", "nil", "true", "false", "undefined", "password", "passwd", "pass", "pwd", "secret", "token", "user", "username", "test", "root", "admin"}
 
 
@@ -85,11 +92,19 @@ def hits(text: str, chunk: int = CHUNK) -> list[tuple[int, int, str, str]]:
     return sorted(found)
 
 
+def reference(value: str) -> bool:
+    """Does the value say where a value is kept? What is filled in counts as a letter, so a secret around it stays one."""
+    rest = _INSERTED.sub("a", value)
+    if rest != value and (len(rest) < 6 or not _varied(rest)):
+        return True
+    return bool(_VARIABLE.fullmatch(value) or _HASH.fullmatch(value) or _REFERENCE.search(value))
+
+
 def usable(value: str) -> bool:
     """Could the value be a secret itself?"""
     if len(value) < 6 or value.lower() in _NOTHING or len(set(value)) < 4 or any(c.isspace() for c in value):
         return False
-    if _REFERENCE.search(value) or _NO.search(value):
+    if reference(value) or _NO.search(value):
         return False
     return True
 
@@ -110,8 +125,8 @@ def _name(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """The value's parts of an assignment whose key ends with a secret's name."""
     before = text[start - 1] if start else " "
     word = text[start:end]
-    if before.isalnum() and not (word[0].isupper() and before.islower()) and len(word) <= 5:
-        return []  # compass, bypass: the end of another word
+    if before.isalnum() and _PART.findall(text[max(0, start - 24) : end])[-1].lower() in _OTHER_WORDS:
+        return []
     if text[max(0, start - 2) : start] == "--" or re.search(r"--[a-z-]*$", text[max(0, start - 24) : start]):
         if (m := _FLAG.match(text, end)) and usable(v := m[2] or m[3]) and _varied(v):
             return [m.span(2) if m[2] else m.span(3)]
@@ -192,7 +207,7 @@ def _find(text: str) -> list[tuple[list[tuple[int, int]], int, str]]:
             if spans := _name(text, start, end):
                 out.append((spans, spans[0][0], "assignment"))
         elif kind == "address":
-            if (m := _ADDRESS.match(text, start)) and m[2].lower() not in _NOTHING and not _REFERENCE.search(m[2]) and not _NO.search(m[2]) and len(set(m[2])) > 2:
+            if (m := _ADDRESS.match(text, start)) and m[2].lower() not in _NOTHING and not reference(m[2]) and not _NO.search(m[2]) and len(set(m[2])) > 2:
                 out.append(([m.span(2)], m.start(2), "address"))
         elif kind == "user":
             if (m := _USER.match(text, start)) and m[2].lower() not in _NOTHING and usable(m[2]):

@@ -127,6 +127,26 @@ def test_no_credentials(line):
     assert not secrets.find(line), secrets.find(line)
 
 
+DOLLARS = [
+    'password = "tR9$kLm2qZ"', "password: Pa$$w0rd7x", "run --password=tR9$kLm2qZ --quiet", "curl -u bob:tR9$kLm2qZ https://h.test/", "amqp://svc:w7$hiWJWPZiE7@host-12.test:4125/c", 'password = "tR9${x}kLm2qZ"',
+    "dbpass=tR9kLm2qZ", "DBPASS=tR9kLm2qZ", "userpwd=tR9kLm2qZ", "authtoken=tR9kLm2qZ", "ACCESSTOKEN=tR9kLm2qZ", "db2pass=tR9kLm2qZ",
+]
+REFERENCES = [
+    "password = $DB_PASSWORD", 'password = "${DB_PASSWORD}"', 'password = "$(get-password 9)"', "run --password=$DB_PASSWORD", "run --password=${DB_PASSWORD}", "run --password=$(cat /run/x9y8)", "curl -u bob:$DB_PASSWORD https://h.test/", "amqp://svc:${DB_PASS}@host.test/c", "amqp://svc:$DB_PASS@host.test/c",
+    "password = $this->password9", 'password = "$HOME/token9"', "password = $$DB_PASSWORD", 'password = "db-${ENVIRONMENT}"', 'password = "%(password)s"', 'password = "{{ vault_password }}"', 'password = "{{vault.pass9}}"', 'password = "#{secret_9}"', "password = $env:DB_PASS9", "bypass=tR9kLm2qZ", "COMPASS=tR9kLm2qZ", "isBypass=tR9kLm2qZ",
+]
+
+
+@pytest.mark.parametrize("line", DOLLARS)
+def test_dollars_and_joined_names_hide_nothing(line):
+    test_credentials(line)
+
+
+@pytest.mark.parametrize("line", REFERENCES)
+def test_references(line):
+    assert not secrets.find(line), secrets.find(line)
+
+
 def test_whole_files(spark):
     text = "\n".join(["a = 1", *FOUND[:3], KEY, *NOT])
     rows = [(1, text), (2, None), (3, ""), (4, "x = 1\n" * 50_000 + FOUND[0]), (5, "İ" * 10 + "\n" + FOUND[1]), (1, text)]
