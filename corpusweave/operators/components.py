@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from corpusweave.runtime import written
+from corpusweave.runtime import free, written
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -19,20 +19,30 @@ def _stars(edges: DataFrame) -> DataFrame:
     return small.where("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges written, and their number and checksum, observed while they are written."""
+    seen = Observation()
+    marked = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("sum"))
+    table = written(marked, "edges")
+    return table, (seen.get["n"], seen.get["sum"])
+
+
+def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(node, component) of every node of an edge; a component is named by its least node.
 
     edges (a, b) of any order; repeated edges and loops do no harm, rows with a null are left out. No edges give no rows.
-    The number of rounds grows with the logarithm of the longest path; nothing is collected but counts.
+    known: the components of further edges, from an earlier call. The number of rounds grows with the logarithm of the longest
+    path; nothing is collected but counts.
     """
+    if known is not None:
+        edges = edges.select("a", "b").unionByName(known.select(F.col("node").alias("a"), F.col("component").alias("b")))
     nodes = edges.where("a is not null and b is not null and a = b").select("a").distinct()
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges, now = _written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
-    while True:
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-        if now == mark or not now[0]:
-            break
-        mark, edges = now, written(_stars(edges), "edges")
+    while now != mark and now[0]:
+        mark, old = now, edges
+        edges, now = _written(_stars(old))
+        free(old)
     found = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     found = found.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
     alone = nodes.select(F.col("a").alias("node")).join(found, "node", "left_anti")

@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+MAIN = "main"
+#: Bytes of a table for each core from which on it is left as it comes.
+SMALL = 4 << 20
+_scope: ContextVar[str] = ContextVar("scope", default=MAIN)
+_written: dict[str, list[tuple[SparkSession, str]]] = {}
 
 
 def session(app: str = "corpusweave", cpus: str | int = "*", **conf: str) -> SparkSession:
@@ -34,12 +41,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Repartition inputs that come in fewer splits than there are cores (one small file is one split).
+    """Repartition a table that is one or a few small files: these are fewer splits than there are cores.
 
-    Large inputs have more splits than cores and pass unchanged, so that at scale nothing is shuffled here.
+    Looks at the scan's files only, nothing is run. What has a file for each core, or SMALL bytes for each, passes unchanged.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= cores * SMALL:
+        return df
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,28 +63,56 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def clear() -> None:
-    """Remove the tables written so far; for sessions that run many queries, once their results are stored."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001 - the JVM may be gone; the folder is the cluster's to clean then
-            pass
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Tables written inside are removed at its end, and no others: for a query whose results are stored there."""
+    token = _scope.set(uuid.uuid4().hex)
+    try:
+        yield
+    finally:
+        name = _scope.get()
+        _scope.reset(token)
+        clear(name)
 
 
-atexit.register(clear)
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001 - the JVM may be gone; the folder is the cluster's to clean then
+        pass
+
+
+def clear(name: str | None = None) -> None:
+    """Remove the tables written in a scope; without a name, those written outside any."""
+    for spark, path in _written.pop(name or MAIN, []):
+        _remove(spark, path)
+
+
+@atexit.register
+def _clear_all() -> None:
+    for name in list(_written):
+        clear(name)
 
 
 def written(df: DataFrame, what: str = "table") -> DataFrame:
     """Cut lineage: write df as Parquet to the shared folder and read it back.
 
-    Unlike a local checkpoint the files outlive any executor. They are removed when the driver ends.
+    Unlike a local checkpoint the files outlive any executor. They are removed when their scope or the driver ends, or by free().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written.setdefault(_scope.get(), []).append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._corpusweave_path = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more: all that was built on them is written itself."""
+    for df in tables:
+        if path := getattr(df, "_corpusweave_path", None):
+            for entries in _written.values():
+                entries[:] = [x for x in entries if x[1] != path]
+            _remove(df.sparkSession, path)
