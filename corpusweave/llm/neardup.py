@@ -4,19 +4,25 @@ The tokens of a text are its distinct runs of four words. All texts order their
 by a count sketch of the whole corpus (2**BITS counters, so its size is bound whatever the corpus). Two texts of the asked
 similarity share at least `o` tokens, and so at least `l` of the first n - o + l of either: the extended prefix.
 
-Single tokens of the prefix are indexed where they are rare (a counter of at most `rare`). Where a prefix reaches into
+Single tokens of the prefix are indexed where they are rare (a counter of at most `most`). Where a prefix reaches into
 the frequent tokens, combinations of two of them are indexed: `l` is made larger, the frequent tokens fall into l - 1 classes by
 hash, and as two similar texts share l of them, they share two of one class; so only pairs within a class are needed and their
 number stays in proportion to the text. Pairs of texts that share too few signatures are dropped, the others verified exactly.
 
-Groups of texts with one signature of more than `rare` texts aren't expanded into pairs. They give a star around a text drawn by
-hash, and a mark whatever the star holds; after the components of all verified links are known, what lies in another component than
-most of a marked group is compared with the rest of it. So no link between different components is lost, and a large group of near-duplicates costs
-a few links a text. Texts that are equal are one text throughout.
+Groups of more than `most` texts with one signature, a number that no corpus changes, aren't expanded into pairs. They give a
+star around a text drawn by hash, and the list of their texts. Once the components of all verified links are known, only groups whose
+texts are in several components can still hide a link; their texts, and no others, are indexed again by `fine` signatures: a
+new order by the counts among these texts alone, where what only one of them has is no token at all, and prefixes by the
+sizes of both texts of a pair, which are much shorter. Texts that merely share a licence's words have none of these in their prefixes and
+never meet. What is left of large groups in several components after that is texts that share most of what similar ones must
+share; there texts of different components are compared, in blocks spread by salt. So no link between different
+components is lost, and a large group of near-duplicates costs a few links a text. Texts that are equal are one text throughout.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 import zlib
 from collections.abc import Iterator
 from fractions import Fraction
@@ -27,20 +33,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.operators.components import components
-from corpusweave.runtime import spread, written
+from corpusweave.runtime import free, spread, written
 
 #: log2 of the sketch's counters; the sketch that tasks get has a byte for each.
 BITS = 24
-#: Words in a run.
-RUN = 4
+#: Words in a run, and bytes that are kept of a run's hash.
+RUN, BYTES = 4, 6
 #: Orders by which the centres of stars are drawn.
 ORDERS = 4
 #: Shared signatures asked of two texts whose prefixes are all rare.
 SHARED = 4
 #: Odd multipliers (fixed values, primes).
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C55, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+#: The bits of a hash that are kept.
+LOW = np.uint64((1 << 64) - (1 << 8 * (8 - BYTES)))
 #: Tokens up to which a text takes part in the lowest level of combinations.
 LOWEST = 90
+#: Texts of a group that are compared pair by pair; a token counted no more often is rare.
+MOST = 48
+#: Ratio of the size classes of fine signatures, and tokens for each class by hash.
+STEP, WIDTH = 1.15, 16
+#: Texts of a block where large groups are compared at last.
+BLOCK = 512
 
 
 class _Words(dict):
@@ -59,7 +73,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def shingles(words: list[str], known: _Words, run: int = RUN) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct runs of words."""
+    """Sorted hashes of the distinct runs of words: the upper BYTES of 64 bits, the others are zero."""
     w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = len(w) - run + 1
     if n < 1:
@@ -67,7 +81,17 @@ def shingles(words: list[str], known: _Words, run: int = RUN) -> np.ndarray:
     h = np.zeros(n, np.uint64)
     for j in range(run):
         h = h * M1 + w[j : j + n]
-    return np.unique(mixed(h))
+    return np.unique(mixed(h) & LOW)
+
+
+def packed(h: np.ndarray) -> bytes:
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - BYTES :].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // BYTES, 8), np.uint8)
+    out[:, 8 - BYTES :] = np.frombuffer(raw, np.uint8).reshape(-1, BYTES)
+    return out.view("<u8").ravel()
 
 
 def _log(counts: np.ndarray) -> np.ndarray:
@@ -75,8 +99,8 @@ def _log(counts: np.ndarray) -> np.ndarray:
     return np.where(counts < 32, counts, np.minimum(255, 32 + np.floor(8 * np.log2(np.maximum(counts, 32) / 32)))).astype(np.uint8)
 
 
-def sketch(texts: DataFrame) -> tuple[np.ndarray, float]:
-    """(log counts by token hash, mean count), over all texts.
+def sketch(tokens: DataFrame) -> np.ndarray:
+    """Log counts by token hash, over all texts (tokens binary).
 
     A task adds up its own counters and sends the compressed ones; they are added up by range of counters, and what the
     driver gets is 2**BITS bytes whatever the corpus.
@@ -84,11 +108,10 @@ def sketch(texts: DataFrame) -> tuple[np.ndarray, float]:
     ranges = 1 << (BITS - 16)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = _Words(), np.zeros(1 << BITS, np.uint8)  # saturating; beyond 255 a task's tokens are all frequent
+        counts = np.zeros(1 << BITS, np.uint8)  # saturating; beyond 255 a task's tokens are all frequent
         for b in batches:
-            all_ = [shingles(t.split(), known) >> np.uint64(64 - BITS) for t in b.column(0).to_pylist()]
-            if all_:
-                at, n = np.unique(np.concatenate(all_), return_counts=True)
+            if b.num_rows:
+                at, n = np.unique(unpacked(b"".join(b.column(0).to_pylist())) >> np.uint64(64 - BITS), return_counts=True)
                 counts[at] = np.minimum(counts[at] + n, 255)
         parts = [(r, counts[r << 16 : (r + 1) << 16]) for r in range(ranges)]
         parts = [(r, zlib.compress(x.tobytes(), 1)) for r, x in parts if x.any()]
@@ -100,14 +123,13 @@ def sketch(texts: DataFrame) -> tuple[np.ndarray, float]:
             for r, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 sums[r] = sums.get(r, 0) + np.frombuffer(zlib.decompress(x), np.uint8).astype(np.int64)
         for r, x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([int(x.sum())]), pa.array([zlib.compress(_log(x).tobytes(), 1)], pa.binary())], names=["range", "n", "logs"])
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([zlib.compress(_log(x).tobytes(), 1)], pa.binary())], names=["range", "logs"])
 
-    parts = texts.select("text").mapInArrow(count, "range int, counts binary").repartition("range")
-    logs, total = np.zeros(1 << BITS, np.uint8), 0
-    for r, n, x in parts.mapInArrow(add, "range int, n long, logs binary").collect():  # 2**(BITS - 16) rows
+    parts = tokens.select("tokens").mapInArrow(count, "range int, counts binary").repartition("range")
+    logs = np.zeros(1 << BITS, np.uint8)
+    for r, x in parts.mapInArrow(add, "range int, logs binary").collect():  # 2**(BITS - 16) rows
         logs[r << 16 : (r + 1) << 16] = np.frombuffer(zlib.decompress(x), np.uint8)
-        total += n
-    return logs, total / (1 << BITS)
+    return logs
 
 
 def signatures(h: np.ndarray, logs: np.ndarray, rare: int, t: Fraction) -> tuple[np.ndarray, bool]:
@@ -133,7 +155,7 @@ def signatures(h: np.ndarray, logs: np.ndarray, rare: int, t: Fraction) -> tuple
             k = min(n, skip + need)
             longest = max(longest, k)
             f = np.sort(h[:k][c[:k] > rare])
-            kind = (f >> np.uint64(7)) % np.uint64(need - 1)
+            kind = (f >> np.uint64(17)) % np.uint64(need - 1)
             order = np.lexsort((f, kind))
             f, kind = f[order], kind[order]
             for step in range(1, len(f)):
@@ -148,14 +170,52 @@ def signatures(h: np.ndarray, logs: np.ndarray, rare: int, t: Fraction) -> tuple
     return np.unique(np.concatenate([single, *out])), True
 
 
-def _postings(logs, rare: int, t: Fraction):
+def fine_signatures(h: np.ndarray, logs: np.ndarray, t: Fraction) -> np.ndarray:
+    """Signatures by the size classes of both texts of a pair: pairs of tokens of one class by hash, from the shortest prefixes."""
+    n = len(h)
+    if not n:
+        return h
+    c = logs[h >> np.uint64(64 - BITS)]
+    order = np.lexsort((h, c))
+    h, c = h[order], c[order]
+    share = t / (1 + t)
+    mine = int(math.log(n) / math.log(STEP) + 1e-9)
+    out = []
+    for other in range(max(0, int(math.log(max(1.0, float(t * n))) / math.log(STEP)) - 1), int(math.log(float(n / t)) / math.log(STEP)) + 2):
+        least = max(math.ceil(STEP**other - 1e-6), math.ceil(t * n))  # tokens of the other text
+        if least > n / t or STEP ** (other + 1) + 1 < t * n:
+            continue
+        lower = math.ceil(STEP ** min(mine, other) - 1e-6)
+        o = min(n, max(math.ceil(share * (n + least)), 1))
+        kinds = max(1, lower // WIDTH)
+        salt = mixed(np.array([min(mine, other) * 4096 + max(mine, other) + 1], np.uint64) * M3)[0]
+        if kinds + 1 > math.ceil(2 * share * lower):  # so small that one shared token may be all there is
+            f = h[: n - o + 1]
+            out.append(mixed(f * M1 + salt))
+            continue
+        k = min(n, n - o + kinds + 1)
+        f = np.sort(h[:k][c[:k] > 1])  # a counter of 1: no other of these texts has it
+        kind = (f >> np.uint64(19)) % np.uint64(kinds)
+        order = np.lexsort((f, kind))
+        f, kind = f[order], kind[order]
+        for step in range(1, len(f)):
+            same = kind[step:] == kind[:-step]
+            if not same.any():
+                break
+            out.append(mixed(f[:-step][same] * M1 + mixed(f[step:][same] + salt)))
+    return np.unique(np.concatenate(out)) if out else h[:0]
+
+
+def _postings(logs, rare: int, t: Fraction, fine: bool):
+    """(sig, doc, size): of each text its signatures; the lowest bit of size says that its prefix reaches into the frequent tokens."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table = _Words(), np.frombuffer(zlib.decompress(logs.value), np.uint8)
+        table = np.frombuffer(zlib.decompress(logs.value), np.uint8)
         for b in batches:
             sigs, ids, sizes = [], [], []
-            for kind, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                h = shingles(text.split(), known)
-                s, frequent = signatures(h, table, rare, t)
+            for kind, doc, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                h = unpacked(tokens)
+                s, frequent = (fine_signatures(h, table, t), True) if fine else signatures(h, table, rare, t)
                 sigs.append(s ^ np.uint64(hash_kind(kind)))
                 ids.append(np.full(len(s), doc, np.int64))
                 sizes.append(np.full(len(s), 2 * len(h) + frequent, np.int32))
@@ -165,6 +225,7 @@ def _postings(logs, rare: int, t: Fraction):
     return run
 
 
+@functools.lru_cache(maxsize=1024)
 def hash_kind(kind: str) -> int:
     import xxhash
 
@@ -172,9 +233,9 @@ def hash_kind(kind: str) -> int:
 
 
 def _pairs(most: int, t: Fraction):
-    """Over postings sorted by signature: all pairs of groups of up to `most`, else the star around the first.
+    """Over postings sorted by signature: all pairs of groups of up to `most`; of larger ones the star around the first.
 
-    A group of more has one row that is marked `over`, of the first with itself: the sizes of a star's texts may leave no pair.
+    A star's rows are marked `over`; they hold the first text (a) with every text (b) of the group, itself and those of no fitting size too.
     """
     ratio = float(t) * (1 - 1e-9)
 
@@ -192,7 +253,7 @@ def _pairs(most: int, t: Fraction):
 
     def rows(sig, doc, size, a, b, over):
         return pa.RecordBatch.from_arrays(
-            [pa.array(doc[a]), pa.array(doc[b]), pa.array(size[a]), pa.array(size[b]), pa.array(np.full(len(a), over)), pa.array(sig[a])], names=["a", "b", "size_a", "size_b", "over", "sig"]
+            [pa.array(doc[a]), pa.array(doc[b]), pa.array(size[a]), pa.array(size[b]), pa.array(sig[a] if over else np.zeros(len(a), np.int64), mask=np.full(len(a), not over))], names=["a", "b", "size_a", "size_b", "over"]
         )
 
     def pairs(sig, doc, size, a, b):
@@ -214,7 +275,7 @@ def _pairs(most: int, t: Fraction):
                 n = int(np.searchsorted(sig != star[0], True)) if (sig != star[0]).any() else len(sig)
                 if n:
                     s, d, z = (np.concatenate([[x], y[:n]]).astype(y.dtype) for x, y in zip(star, (sig, doc, size)))
-                    yield from pairs(s, d, z, np.zeros(n, np.int64), np.arange(1, n + 1))
+                    yield rows(s, d, z, np.zeros(n, np.int64), np.arange(1, n + 1), True)
                     sig, doc, size = sig[n:], doc[n:], size[n:]
                 if not len(sig):
                     rest = [sig, doc, size]
@@ -230,10 +291,8 @@ def _pairs(most: int, t: Fraction):
                 star = (sig[lo[-1]], doc[lo[-1]], size[lo[-1]])
             small = hi - lo <= most
             yield from emit(sig, doc, size, lo[small], hi[small])
-            if len(large := lo[~small]):
-                yield rows(sig, doc, size, large, large, True)
-            for x, y in zip(large, hi[~small]):
-                yield from pairs(sig, doc, size, np.full(y - x - 1, x), np.arange(x + 1, y))
+            for x, y in zip(lo[~small], hi[~small]):
+                yield rows(sig, doc, size, np.full(y - x, x), np.arange(x, y), True)
         sig, doc, size = rest
         if len(sig):
             yield from emit(sig, doc, size, np.array([0]), np.array([len(sig)]))
@@ -247,9 +306,9 @@ def _verify(t: Fraction):
             left, right = b.column(2).to_pylist(), b.column(3).to_pylist()
             keep, was, x = [], None, None
             for i, (p, q) in enumerate(zip(left, right)):
-                if p is not was:
-                    was, x = p, np.frombuffer(p, np.uint64)
-                y = np.frombuffer(q, np.uint64)
+                if p != was:
+                    was, x = p, unpacked(p)
+                y = unpacked(q)
                 common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
                 if common * t.denominator >= t.numerator * (len(x) + len(y) - common):
                     keep.append(i)
@@ -259,26 +318,58 @@ def _verify(t: Fraction):
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, t: Fraction) -> DataFrame:
-    """Those of the pairs (a, b) whose texts have the similarity; only the texts that pairs name are shuffled."""
+def _links(pairs: DataFrame, tokens: DataFrame, t: Fraction) -> DataFrame:
+    """Those of the pairs (a, b) whose texts have the similarity. Both joins read one shuffle of the tokens."""
+    x, y = (tokens.select(F.col("doc").alias(k), F.col("tokens").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return pairs.select("a", "b").join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(_verify(t), "a long, b long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x.split(), known).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["doc", "tokens"])
 
-    named = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    tokens = written(texts.select("doc", "text").join(named, "doc", "left_semi").mapInArrow(run, "doc long, tokens binary"), "dup-tokens")
-    both = pairs.join(tokens.withColumnsRenamed({"doc": "a", "tokens": "x"}), "a").join(tokens.withColumnsRenamed({"doc": "b", "tokens": "y"}), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_verify(t), "a long, b long")
+def _round(tokens: DataFrame, most: int, t: Fraction, fine: bool) -> tuple[DataFrame, DataFrame]:
+    """(verified links, texts of large groups as (sig, doc, size)) of one index over (kind, doc, tokens)."""
+    logs = sketch(tokens)
+    rare = int(_log(np.array([most]))[0])
+    shared = tokens.sparkSession.sparkContext.broadcast(zlib.compress(logs.tobytes(), 1))
+    postings = tokens.select("kind", "doc", "tokens").mapInArrow(_postings(shared, rare, t, fine), "sig long, doc long, size int")
+    # a few orders in all: then the stars of a large group of near-duplicates have few centres, and a text few links to verify
+    ordered = postings.repartition("sig").sortWithinPartitions("sig", F.xxhash64("doc", F.pmod("sig", F.lit(ORDERS))), "doc")
+    pairs = written(ordered.mapInArrow(_pairs(most, t), "a long, b long, size_a int, size_b int, over long"), "dup-pairs")
+    na, nb = F.shiftright("size_a", 1), F.shiftright("size_b", 1)
+    need = F.ceil((na + nb) * t.numerator / F.lit(t.numerator + t.denominator))
+    both_frequent = F.shiftleft(F.col("size_a"), 31).bitwiseAND(F.shiftleft(F.col("size_b"), 31)) != 0
+    enough = F.when(both_frequent, 1).otherwise(F.least(F.lit(SHARED), need))
+    fits = F.col("over").isNull() | ((F.col("a") != F.col("b")) & (F.least(na, nb) >= float(t) * (1 - 1e-9) * F.greatest(na, nb)))
+    sized = pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (na + nb).alias("n"), enough.alias("enough"), F.col("over").isNotNull().alias("star"))
+    # of a star's pairs some signatures may be in other stars, so they are verified whatever they share
+    found = sized.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("enough").alias("enough"), F.max("star").alias("star")).where("star or shared >= enough")
+    return found.select("a", "b"), pairs.where("over is not null").select(F.col("over").alias("sig"), F.col("b").alias("doc"), F.col("size_b").alias("size"))
+
+
+def _open(large: DataFrame, named: DataFrame) -> DataFrame:
+    """(sig, doc, size, component) of the large groups whose texts are in several components."""
+    of = large.join(named.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    several = of.groupBy("sig").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first <> last")
+    return of.join(several.select("sig"), "sig", "left_semi").select("sig", "doc", "size", "component")
+
 
+def _across(large: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs (a, b) of texts of fitting sizes and different components in one large group, without those of its main component alone.
 
-def groups(records: DataFrame, threshold: float = 0.6, least_words: int = 20, rare_most: int | None = None) -> DataFrame:
+    A group is cut into blocks of about BLOCK texts; a text meets block by block, so no key has more than a block's rows on one side.
+    """
+    sizes = large.groupBy("sig", "component").count().groupBy("sig").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("n"))
+    large = large.join(sizes, "sig").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    out = large.where("component <> main").select("sig", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "doc", F.shiftright("size", 1).alias("s"), F.col("component").alias("c"))
+    rest = large.select("sig", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), F.col("doc").alias("other"), F.shiftright("size", 1).alias("size"), "component")
+    both = out.join(rest, ["sig", "block"]).where("c <> component").where(F.least("s", "size") + 1e-6 >= float(t) * F.greatest("s", "size"))
+    return both.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
+
+
+def groups(records: DataFrame, threshold: float = 0.6, least_words: int = 20, most: int = MOST) -> DataFrame:
     """(kind, id, class_id): the group of each record, named by the least id in it; unlike kinds are never in one group.
 
     records (kind string, id long, text string), (kind, id) unique. Words are what blanks separate; null texts and those of
-    fewer than least_words words are left out. A record like no other is a group of its own. Repeated rows count once. rare_most: the count up to
-    which a token is rare; by default 64 or, if that is more, four times the sketch's mean. It changes the work, not the result.
+    fewer than least_words words are left out. A record like no other is a group of its own. Repeated rows count once. most: texts
+    with one signature that are compared pair by pair. It changes the work, not the result.
     """
     t = Fraction(str(threshold)).limit_denominator(1000)
     if not 0 < t <= 1:
@@ -291,37 +382,36 @@ def groups(records: DataFrame, threshold: float = 0.6, least_words: int = 20, ra
     ones = every.groupBy("kind", "digest").agg(F.min("id").alias("one"))
     number = F.xxhash64("kind", F.col("one")).alias("doc")
     members = written(every.join(ones, ["kind", "digest"]).select("kind", "id", "one", number), "dup-members")
-    texts = written(records.join(members.where("id = one").select("kind", "id", "doc"), ["kind", "id"]).select("kind", "doc", "text"), "dup-texts")
+    free(every)
 
-    logs, mean = sketch(texts)
-    most = max(64, int(4 * mean)) if rare_most is None else rare_most
-    rare = int(_log(np.array([most]))[0])
-    most = int(2 ** ((rare + 1 - 32) / 8) * 32) + 1 if rare >= 32 else rare  # the largest count with that byte
-    shared = records.sparkSession.sparkContext.broadcast(zlib.compress(logs.tobytes(), 1))
-    postings = written(texts.select("kind", "doc", "text").mapInArrow(_postings(shared, rare, t), "sig long, doc long, size int"), "dup-postings")
-    # a few orders in all: then the stars of a large group of near-duplicates have few centres, and a text few links to verify
-    ordered = postings.repartition("sig").sortWithinPartitions("sig", F.xxhash64("doc", F.pmod("sig", F.lit(ORDERS))), "doc")
-    pairs = written(ordered.mapInArrow(_pairs(most, t), "a long, b long, size_a int, size_b int, over boolean, sig long"), "dup-pairs")
-    need = F.ceil((F.shiftright("size_a", 1) + F.shiftright("size_b", 1)) * t.numerator / F.lit(t.numerator + t.denominator))
-    both_frequent = F.shiftleft(F.col("size_a"), 31).bitwiseAND(F.shiftleft(F.col("size_b"), 31)) != 0
-    enough = F.when(both_frequent, 1).otherwise(F.least(F.lit(SHARED), need))
-    candidates = pairs.where("not over").groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= enough).select("a", "b")
-    links = written(_links(candidates, texts, t), "dup-links")
-    named = components(links)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        for b in batches:
+            tokens = pa.array([packed(shingles(x.split(), known)) for x in b.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), tokens], names=["kind", "doc", "tokens"])
+
+    # what three passes need of the texts is made once
+    texts = records.join(members.where("id = one").select("kind", "id", "doc").hint("merge"), ["kind", "id"]).select("kind", "doc", "text")
+    tokens = written(texts.mapInArrow(run, "kind string, doc long, tokens binary"), "dup-tokens")
 
-    if pairs.where("over").limit(1).count():
+    found, large = _round(tokens, most, t, False)
+    named = components(written(_links(found, tokens, t), "dup-links"))
+    if not large.isEmpty():
         named = written(named, "dup-components")
-        large = postings.join(pairs.where("over").select("sig"), "sig").join(named.withColumnRenamed("node", "doc"), "doc", "left")
-        large = written(large.select("sig", "doc", "size", F.coalesce("component", "doc").alias("component")), "dup-large")
-        main = large.groupBy("sig", "component").count().groupBy("sig").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("n")).where("n > 1")
-        out = large.join(main, "sig").where("component <> main").select("sig", "doc", F.col("size").alias("s"), F.col("component").alias("c"))
-        across = out.join(large.select("sig", F.col("doc").alias("other"), "size", "component"), "sig").where("c <> component")
-        across = across.where((F.least(F.shiftright("s", 1), F.shiftright("size", 1)) + 1e-6) >= float(t) * F.greatest(F.shiftright("s", 1), F.shiftright("size", 1)))
-        across = across.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
-        named = components(links.unionByName(_links(across, texts, t)))
+        again = written(_open(large, named).select("doc").distinct(), "dup-open")
+        if not again.isEmpty():
+            several = written(tokens.join(again, "doc", "left_semi").select("kind", "doc", "tokens"), "dup-open-tokens")
+            found, large = _round(several, most, t, True)
+            named = components(written(_links(found, several, t), "dup-links"), named)
+            if not large.isEmpty():
+                named = written(named, "dup-components")
+                large = written(_open(large, named), "dup-large")
+                if not large.isEmpty():
+                    named = components(written(_links(_across(large, t), several, t), "dup-links"), named)
 
     of = members.join(named.withColumnRenamed("node", "doc"), "doc", "left").select("kind", "id", F.coalesce("component", "doc").alias("component"))
     of = written(of, "dup-of")
+    free(members, tokens)
     names = of.groupBy("kind", "component").agg(F.min("id").alias("class_id"))
     return of.join(names, ["kind", "component"]).select("kind", "id", "class_id")
 

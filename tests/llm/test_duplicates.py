@@ -1,6 +1,8 @@
 import itertools
 import random
+from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,22 +105,22 @@ def families(seed, n, families, noise):
     return rows
 
 
-@pytest.mark.parametrize("rare_most", [None, 64, 3, 0])
-def test_groups_against_brute_force(spark, rare_most):
+@pytest.mark.parametrize("most", [neardup.MOST, 4])
+def test_groups_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(neardup, "BLOCK", 8)
     rows = families(7, 260, 14, 9)
     rows += [("file", 1000 + i, rows[1][2]) for i in range(90)] + [("file", 2000, None), ("file", 2001, ""), ("file", 2002, "a " * 19), ("file", 2003, "a " * 400), ("file", 2004, "a " * 30), ("file", 2005, "a b " * 300)]
     df = spark.createDataFrame(rows, "kind string, id long, text string").selectExpr("*", "1 as doc", "2 as sig", "3 as size")
-    got = {(r.kind, r.id): r.class_id for r in neardup.groups(df, rare_most=rare_most).collect()}
+    got = {(r.kind, r.id): r.class_id for r in neardup.groups(df, most=most).collect()}
     expected = brute_groups(rows)
     assert got == expected and len(set(expected.values())) < len(expected) / 2
 
 
-@pytest.mark.parametrize("threshold", [0.8, 0.45, 1])
-def test_other_thresholds(spark, threshold):
+@pytest.mark.parametrize("threshold, most", [(0.8, 4), (0.45, 0)])
+def test_other_thresholds(spark, threshold, most):
     rows = families(8, 150, 8, 6)
     df = spark.createDataFrame(rows, "kind string, id long, text string")
-    for rare_most in (None, 2):
-        assert {(r.kind, r.id): r.class_id for r in neardup.groups(df, threshold, rare_most=rare_most).collect()} == brute_groups(rows, threshold)
+    assert {(r.kind, r.id): r.class_id for r in neardup.groups(df, threshold, most=most).collect()} == brute_groups(rows, threshold)
 
 
 def test_group_edge_cases(spark):
@@ -134,9 +136,6 @@ def test_group_edge_cases(spark):
 
 def test_every_link_shares_signatures():
     """The filter's promise, without Spark: two similar texts share a signature, whatever is rare."""
-    import numpy as np
-    from fractions import Fraction
-
     t, known = Fraction(3, 5), neardup._Words()
     rows = families(11, 200, 6, 8)
     h = [neardup.shingles(r[2].split(), known) for r in rows]
@@ -154,6 +153,44 @@ def test_every_link_shares_signatures():
                 assert shared >= need
 
 
+@pytest.mark.parametrize("t", [Fraction(3, 5), Fraction(4, 5), Fraction(9, 20), Fraction(1)])
+def test_every_link_shares_a_fine_signature(t):
+    known = neardup._Words()
+    rows = families(12, 200, 6, 8) + [("file", 900 + i, " ".join(f"s{j}" for j in range(i % 7, i % 7 + 4 + i % 3))) for i in range(20)]
+    h = [neardup.shingles(r[2].split(), known) for r in rows]
+    counts = np.zeros(1 << neardup.BITS, np.int64)
+    for x in h:
+        np.add.at(counts, x >> np.uint64(64 - neardup.BITS), 1)
+    logs = neardup._log(counts)
+    s = [neardup.fine_signatures(x, logs, t) for x in h]
+    links = 0
+    for a, b in itertools.combinations(range(len(h)), 2):
+        n = len(np.intersect1d(h[a], h[b]))
+        if n and n >= t * (len(h[a]) + len(h[b]) - n):
+            links += 1
+            assert len(np.intersect1d(s[a], s[b]))
+    assert links > 20
+
+
+def boilerplate(n, common, own, more=()):
+    """Unlike texts of own words around one common text, and families among them."""
+    text = " ".join(f"b{i}" for i in range(common))
+    rows = [("file", i, f"{text} " + " ".join(f"{i}x{j}" for j in range(own))) for i in range(n)]
+    return rows + [("file", n + i, rows[k][2] + f" e{i}") for i, k in enumerate(more)]
+
+
+def test_unlike_texts_with_common_words_do_not_meet(spark, monkeypatch):
+    """Their links are found; the pairs that are verified stay in proportion to the texts."""
+    rows = boilerplate(3000, 50, 30, more=range(0, 3000, 50))
+    verified = []
+    links = neardup._links
+    monkeypatch.setattr(neardup, "_links", lambda pairs, *x: (verified.append(pairs.count()), links(pairs, *x))[1])
+    df = spark.createDataFrame(rows, "kind string, id long, text string")
+    got = {r.id: r.class_id for r in neardup.groups(df).collect()}
+    assert got == {i: i for i in range(3000)} | {3000 + k: i for k, i in enumerate(range(0, 3000, 50))}
+    assert sum(verified) < (neardup.ORDERS + 1) * len(rows), verified
+
+
 def test_a_centre_of_another_size_loses_no_link(spark):
     """Two texts share signatures only with a short text that is the first of each large group and no partner of theirs."""
     orders = [F.xxhash64(F.xxhash64(F.lit("file"), "id"), F.lit(k).cast("long")).alias(f"h{k}") for k in range(neardup.ORDERS)]
@@ -166,7 +203,7 @@ def test_a_centre_of_another_size_loses_no_link(spark):
     expected = brute_groups(rows)
     assert expected["file", a] == expected["file", b] != expected["file", short]
     df = spark.createDataFrame(rows, "kind string, id long, text string")
-    assert {(r.kind, r.id): r.class_id for r in neardup.groups(df, rare_most=1).collect()} == expected
+    assert {(r.kind, r.id): r.class_id for r in neardup.groups(df, most=1).collect()} == expected
 
 
 def test_nothing_else_imports_this_subpackage():
