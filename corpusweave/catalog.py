@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,10 @@ from corpusweave.functions import grams
 from corpusweave.functions import text as T
 from corpusweave.operators import files as table_ops
 from corpusweave.operators import search, snapshots
-from corpusweave.runtime import spread, table
+from corpusweave.plans import assess
+from corpusweave.runtime import scratch, spread, table
 from corpusweave.sinks import reports
-from corpusweave.sources import archives, terms
+from corpusweave.sources import archives, scan, terms
 from corpusweave.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,12 +98,38 @@ def clean_control(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.clean_control(F.col("text")).alias("cleaned"))
 
 
-@query()
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _sql_fold(text: str) -> str:
+    """NFKC without marks, case folded beyond ASCII. Both maps are the character database's, as text."""
+    every = [chr(c) for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000]
+
+    def each(text: str, table: dict[str, str]) -> str:
+        table = f"map([{', '.join(map(_quoted, table))}], [{', '.join(map(_quoted, table.values()))}])"
+        return f"array_to_string(list_transform(regexp_extract_all({text}, '(?s).'), lambda c: CASE WHEN ord(c) < 128 THEN c ELSE coalesce({table}[c], c) END), '')"
+
+    apart = {c: k for c in every if (k := unicodedata.normalize("NFKD", c)) != unicodedata.normalize("NFD", c)}
+    folds = {c: c.casefold() for c in every if c.casefold() != c}
+    return each(f"regexp_replace(nfc_normalize({each(text, apart)}), '\\pM', '', 'g')", folds)
+
+
+def _sql_normalized(text: str) -> str:
+    small = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    folded = f"CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN {_sql_fold(text)} ELSE {text} END"
+    return f"SELECT doc_id, coalesce(trim(regexp_replace({small.format(folded)}, '[\\s\\x1c-\\x1f\\x{{85}}\\pZ]+', ' ', 'g')), '') AS normalized FROM documents"
+
+
+_DIGIT = "[\\p{Nd}" + "".join(chr(c) for c in range(0x80, 0x30000) if chr(c).isdigit() and not chr(c).isdecimal()) + "]"
+
+
+@query(_sql_normalized(_STRIP.format(c="text").replace("[0-9]", _DIGIT)))
 def normalize_text(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.normalize(F.col("text")).alias("normalized"))
 
 
-@query()
+@query(_sql_normalized("text"))
 def normalize_for_compare(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.normalize_for_compare(F.col("text")).alias("normalized"))
 
@@ -333,15 +361,20 @@ _STEP = """SELECT *, CASE WHEN a = b THEN 0 ELSE coalesce(list_position(fw[x + 2
 FROM (SELECT s.*, f.w fw, p.w pw, f.w[x + 1] a, p.w[y + 1] b FROM s JOIN f USING (file_id) JOIN p USING (pattern_id) WHERE x < len(f.w) AND y < len(p.w))"""
 
 
-@query(f"""WITH RECURSIVE {_sql_heads("pattern_kind = 'header'")},
+def _sql_fuzzy() -> str:
+    """CTEs up to r: the best alignment of each file and header above half, versions as lists."""
+    return f"""WITH RECURSIVE {_sql_heads("pattern_kind = 'header'")},
 s AS (SELECT file_id, pattern_id, i, j, i + 4 AS x, j + 4 AS y, 4::BIGINT AS m, i + 3 AS last FROM heads
   UNION ALL SELECT file_id, pattern_id, i, j, CASE WHEN a = b THEN x + 1 WHEN df > 0 AND (dp = 0 OR df <= dp) THEN x + df WHEN dp > 0 THEN x ELSE x + 1 END,
   CASE WHEN a = b THEN y + 1 WHEN df > 0 AND (dp = 0 OR df <= dp) THEN y WHEN dp > 0 THEN y + dp ELSE y + 1 END,
   CASE WHEN a = b THEN m + 1 ELSE m END, CASE WHEN a = b THEN x ELSE last END FROM ({_STEP})),
 best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY file_id, pattern_id ORDER BY m DESC, i, j, x DESC, y DESC) = 1),
-r AS (SELECT file_id AS path, pattern_id AS seq, license_name, m / len(p.w) * 100.0 AS match_percent, i::INT AS start_index, last::INT AS end_index, array_to_string(f.w[i + 1:last + 1], ' ') AS matched_substring
-  FROM best JOIN f USING (file_id) JOIN p USING (pattern_id) WHERE m / len(p.w) * 100.0 > 50)
-SELECT *, array_to_string(regexp_extract_all(license_name, '\\d+(\\.\\d+)?'), ',') AS expected_versions, array_to_string({_WHOLE.format(c="matched_substring")}, ',') AS found_versions FROM r""")
+b AS (SELECT file_id AS path, pattern_id AS seq, license_name, m / len(p.w) * 100.0 AS match_percent, i::INT AS start_index, last::INT AS end_index, array_to_string(f.w[i + 1:last + 1], ' ') AS matched_substring
+  FROM best JOIN f USING (file_id) JOIN p USING (pattern_id) WHERE m / len(p.w) * 100.0 > 50),
+r AS (SELECT *, regexp_extract_all(license_name, '\\d+(\\.\\d+)?') AS expected_versions, {_WHOLE.format(c="matched_substring")} AS found_versions FROM b)"""
+
+
+@query(f"{_sql_fuzzy()} SELECT * REPLACE (array_to_string(expected_versions, ',') AS expected_versions, array_to_string(found_versions, ',') AS found_versions) FROM r")
 def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
     m = search.fuzzy(_texts(spark, d), _patterns(spark, d, "header"))
     return m.withColumns({c: F.array_join(c, ",") for c in ("expected_versions", "found_versions")})
@@ -360,7 +393,9 @@ def version_agreement(spark: SparkSession, d: str) -> DataFrame:
     return _matches(spark, d).select("path", "seq", search.agreement(F.col("expected_versions"), F.col("found_versions")).alias("match_class"))
 
 
-@query(f"""WITH m AS (SELECT path, seq, license_name, coalesce(match_percent, 0.0) p, coalesce(found_versions, []) found, {_CLASS} c FROM {_MATCHES}),
+def _sql_resolve(matches: str) -> str:
+    """(path, selected list, match_class, winner_order, license_name, match_percent) of matches."""
+    return f"""WITH m AS (SELECT path, seq, license_name, coalesce(match_percent, 0.0) p, coalesce(found_versions, []) found, {_CLASS} c FROM {matches}),
 b AS (SELECT path, min(CASE c WHEN 'ALL' THEN 0 WHEN 'COMMON' THEN 1 ELSE 2 END) r FROM m GROUP BY 1),
 u AS (SELECT m.* FROM m JOIN b USING (path) WHERE CASE c WHEN 'ALL' THEN 0 WHEN 'COMMON' THEN 1 ELSE 2 END = r),
 one AS (SELECT * FROM u WHERE c <> 'COMMON' QUALIFY row_number() OVER (PARTITION BY path ORDER BY (c = 'ALL' AND len(found) > 0) DESC, p DESC, seq) = 1),
@@ -369,13 +404,22 @@ fold AS (SELECT path, list_reduce(list_transform(l, lambda x: struct_pack(best :
   WHEN len(list_filter(x.claimed, lambda v: NOT list_contains(a.claimed, v))) > 0
   THEN struct_pack(best := list_concat(a.best, x.best), claimed := list_append(a.claimed, list_filter(x.claimed, lambda v: NOT list_contains(a.claimed, v))[1])) ELSE a END,
   struct_pack(best := l[1:0], claimed := l[1].f[1:0])) s FROM l)
-SELECT path, license_name AS selected, c AS match_class, seq AS winner_order, license_name, p AS match_percent FROM one
-UNION ALL SELECT path, array_to_string(list_transform(s.best, lambda x: x.n), ','), 'COMMON', s.best[-1].o, s.best[-1].n, s.best[-1].p FROM fold""")
+SELECT path, [license_name] AS selected, c AS match_class, seq AS winner_order, license_name, p AS match_percent FROM one
+UNION ALL SELECT path, list_transform(s.best, lambda x: x.n), 'COMMON', s.best[-1].o, s.best[-1].n, s.best[-1].p FROM fold"""
+
+
+@query(f"SELECT * REPLACE (array_to_string(selected, ',') AS selected) FROM ({_sql_resolve(_MATCHES)})")
 def resolve_best(spark: SparkSession, d: str) -> DataFrame:
     return search.resolve(_matches(spark, d)).withColumn("selected", F.array_join("selected", ","))
 
 
-@query()
+@query(f"""WITH l AS (SELECT path, list(struct_pack(o := seq, same := coalesce(expected_versions, []) = coalesce(found_versions, []), free := len(coalesce(expected_versions, [])) = 0,
+  p := coalesce(match_percent, 0.0), n := license_name) ORDER BY seq) l FROM {_MATCHES} GROUP BY 1),
+f AS (SELECT path, list_reduce(list_transform(l, lambda x: struct_pack(p := x.p, same := x.same, free := x.free, n := x.n, best := 0.0::DOUBLE, equal_best := 0.0::DOUBLE, eq := false)), lambda s, x: CASE
+  WHEN x.same OR (NOT (NOT s.eq AND x.p > s.best) AND x.free) THEN CASE WHEN x.p > s.equal_best THEN struct_pack(p := x.p, same := x.same, free := x.free, n := x.n, best := x.p, equal_best := x.p, eq := true) ELSE s END
+  WHEN NOT s.eq AND x.p > s.best THEN struct_pack(p := x.p, same := x.same, free := x.free, n := x.n, best := x.p, equal_best := s.equal_best, eq := s.eq) ELSE s END,
+  struct_pack(p := 0.0::DOUBLE, same := false, free := false, n := NULL::VARCHAR, best := 0.0::DOUBLE, equal_best := 0.0::DOUBLE, eq := false)) s FROM l)
+SELECT path, s.n AS license_name, s.p AS match_percent FROM f WHERE s.n IS NOT NULL""")
 def resolve_in_order(spark: SparkSession, d: str) -> DataFrame:
     return search.resolve_in_order(_matches(spark, d))
 
@@ -404,19 +448,67 @@ def totals(spark: SparkSession, d: str) -> DataFrame:
     return reports.totals(table(spark, d, "files"))
 
 
-@query()
+_JSON = """'["' || array_to_string({c}, '","') || '"]'"""
+
+
+@query(f"""WITH fz AS MATERIALIZED ({_sql_fuzzy()} SELECT * FROM r), best AS ({_sql_resolve("fz")}),
+exact AS (SELECT file_id, list(p.license_name ORDER BY p.pattern_id) AS names FROM files f JOIN patterns p ON contains(f.file_content_normalized, p.text) AND p.pattern_kind = 'full' GROUP BY 1),
+kw AS (SELECT path, '{{' || string_agg('"' || category || '":' || found, ',' ORDER BY cat_ord) || '}}' AS words FROM (
+  SELECT file_id AS path, category, cat_ord, {_JSON.format(c="list(norm ORDER BY term_ord)")} AS found FROM files JOIN {_sql_terms()} t ON contains(' ' || file_content_normalized || ' ', ' ' || norm || ' ') GROUP BY ALL) GROUP BY 1)
+SELECT '=HYPERLINK("file:///' || replace(file_path, '\\', '/') || '", "' || regexp_extract(replace(file_path, '\\', '/'), '([^/]*)/*$', 1) || '")' AS "File Name",
+CASE WHEN e.names IS NULL AND b.selected IS NULL THEN '[]' ELSE {_JSON.format(c="list_concat(coalesce(e.names, []), coalesce(b.selected, []))")} END AS "Licenses", b.match_percent AS "Match %", e.names IS NOT NULL AS "Full License",
+file_is_empty AS "Is Empty", kw.words AS "Keywords", file_hash AS "Hash" FROM files f LEFT JOIN exact e USING (file_id) LEFT JOIN best b ON b.path = f.file_id LEFT JOIN kw ON kw.path = f.file_id""")
 def csv_report(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "files").drop("license_names")
-    texts = _texts(spark, d)
-    full = search.full_matches(texts, _patterns(spark, d, "full")).select(F.col("path").alias("file_id"), "license_names")
-    best = search.resolve(search.fuzzy(texts, _patterns(spark, d, "header"))).select(F.col("path").alias("file_id"), "match_percent")
-    words = search.keyword_map(texts, terms.frame(spark)).withColumnRenamed("path", "file_id")
-    return reports.csv_rows(files.join(full, "file_id").join(best, "file_id", "left").join(words, "file_id", "left"))
+    """The whole assessment of the table: three searches, resolution, report."""
+    files = spread(table(spark, d, "files").select("file_id", "file_path", "file_is_empty", "file_hash", F.col("file_content_normalized").alias("text")))
+    out, _ = assess.assess_table(files, _patterns(spark, d, "full"), _patterns(spark, d, "header"), terms.frame(spark), key="file_id")
+    return reports.csv_rows(out)
+
+
+@query("SELECT file_path, file_hash, coalesce(license_names, []) AS licenses, coalesce(file_content, '') AS content, file_content_is_text FROM files")
+def snapshot_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The snapshot that a run leaves, as JSON lines, read as the next run reads it."""
+    at = scratch(spark, "snapshot", ".json")
+    reports.write_snapshot(spread(table(spark, d, "files")), at, kind="json")
+    return scan.read_snapshot(spark, at).select("file_path", "file_hash", "licenses", F.decode(T.decompress_b64(F.col("file_content_b64")), "UTF-8").alias("content"), "file_content_is_text")
+
+
+# ---- sources: the tables' rows as trees and archives in the shared folder, read back
+
+_AT = r"'r' || coalesce(repo_id, 0) || '/' || file_id || '-' || regexp_extract(file_path, '([^/\\]*)$', 1)"
+
+
+def _tree(spark: SparkSession, d: str) -> DataFrame:
+    """(path, content) of every row of files, at a path of its own."""
+    at = F.concat(F.lit("r"), F.coalesce("repo_id", F.lit(0)).cast("string"), F.lit("/"), F.col("file_id").cast("string"), F.lit("-"), F.regexp_extract("file_path", r"([^/\\]*)$", 1))
+    return spread(table(spark, d, "files").select(at.alias("path"), F.encode(F.coalesce("file_content", F.lit("")), "UTF-8").alias("content")))
+
+
+@query(rf"""WITH t AS (SELECT {_AT} AS file_path, coalesce(file_content, '') AS content FROM files)
+SELECT file_path, content AS file_content, CASE WHEN regexp_extract(lower(b), '^\.*[^.].*?(\.[^.]*)$', 1) <> '' THEN regexp_extract(lower(b), '^\.*[^.].*?(\.[^.]*)$', 1) ELSE lower(b) END AS file_extension,
+sha256(content) AS file_hash, content = '' AS file_is_empty, true AS file_content_is_text, NOT contains(file_path, 'r1/') AS is_released FROM (SELECT *, regexp_extract(file_path, '([^/]*)$', 1) AS b FROM t)""")
+def tree_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Files written as a tree, walked, read, hashed and decoded; one folder is not released."""
+    root = scratch(spark, "tree")
+    scan.write_tree(_tree(spark, d), root)
+    rows = scan.file_rows(scan.read_tree(spark, root, archives=False), ignored=("r1/",))
+    return rows.select("file_path", "file_content", "file_extension", "file_hash", "file_is_empty", "file_content_is_text", "is_released")
+
+
+@query(rf"SELECT 'a' || file_id || '/in/' || {_AT} AS path, sha256(coalesce(file_content, '')) AS digest, regexp_matches(lower(file_path), '[^/]\.(zip|tar|jar|tgz|tbz2|txz|gz|bz2|xz|lzma)$') AS failed FROM files")
+def archive_unpack(spark: SparkSession, d: str) -> DataFrame:
+    """Each file in a zip in a compressed tar, found by unpacking to any depth; what has an archive's name and is none stays a file."""
+    packed = archives.packed(_tree(spark, d).withColumn("archive", F.concat(F.lit("a"), F.regexp_extract("path", "/([0-9]+)-", 1))))
+    return archives.expand_rows(packed).select("path", F.sha2("content", 256).alias("digest"), F.col("extract_error").isNotNull().alias("failed"))
 
 
-@query()
-def snapshot_rows(spark: SparkSession, d: str) -> DataFrame:
-    return reports.snapshot_rows(spread(table(spark, d, "files")))
+@query(f"SELECT license_name AS name, trim(regexp_replace(lower({_STRIP.format(c='raw_text')}), '\\s+', ' ', 'g')) AS text FROM patterns WHERE pattern_kind = 'header'")
+def pattern_folder(spark: SparkSession, d: str) -> DataFrame:
+    """The headers as a folder of text files, read as patterns."""
+    root = scratch(spark, "patterns")
+    p = table(spark, d, "patterns").where("pattern_kind = 'header'")
+    scan.write_tree(p.select(F.concat("license_name", F.lit("_"), F.col("pattern_id").cast("string"), F.lit(".txt")).alias("path"), F.encode("raw_text", "UTF-8").alias("content")), root)
+    return scan.read_patterns(spark, [root]).select("name", "text")
 
 
 @query("""SELECT repo_id, file_path, lower(file_hash) AS file_hash, array_to_string(coalesce(licenses, []), ',') AS licenses FROM snapshot_primary UNION ALL

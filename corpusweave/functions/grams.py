@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words in an anchor, and in a block of a text whose places are summed up.
 ANCHOR, BLOCK = 4, 512
@@ -45,5 +49,21 @@ def anchor_rows(df: DataFrame, words: str, keep: list[str], n: int = ANCHOR) ->
 
 
 def anchor_index(df: DataFrame, words: str, keep: list[str], n: int = ANCHOR) -> DataFrame:
-    """(keep..., gram, positions): the inverted index of each row."""
-    return anchor_rows(df, words, keep, n).groupBy(*keep, "gram").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    """(keep..., gram, positions): the inverted index of each row, made in its own batch; rows with fewer words than n have none."""
+    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("gram", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, grams, places = [], [], []
+            for k, w in enumerate(b.column(len(keep)).to_pylist()):
+                index: dict[str, list[int]] = {}
+                for i, gram in enumerate(map(" ".join, zip(*(w[j:] for j in range(n))))):
+                    index.setdefault(gram, []).append(i)
+                at += [k] * len(index)
+                grams += index
+                places += index.values()
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[c.take(rows) for c in b.columns[: len(keep)]], pa.array(grams, pa.string()), pa.array(places, pa.list_(pa.int32()))], names=schema.names)
+
+    whole = df.where(F.size(words) >= n).select(*keep, F.transform(words, lambda w: F.coalesce(w, F.lit(""))).alias("_w"))
+    return whole.mapInArrow(run, schema)

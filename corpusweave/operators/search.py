@@ -2,44 +2,97 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusweave.functions import grams
 from corpusweave.functions.text import versions_in_text, versions_of_name, whole_numbers
 
-#: Most bytes of pattern texts that are broadcast; more are joined by their anchors without a broadcast.
+#: Most bytes of pattern texts that go to tasks at once; more go in blocks.
 BROADCAST = 64_000_000
 LOOKAHEAD = 5
 
 
+def in_blocks(patterns: DataFrame, key: str, column: str, limit: int = BROADCAST) -> list[DataFrame]:
+    """The patterns in blocks whose texts are each within about the limit; usually one block."""
+    size = patterns.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    n = size // max(1, limit) + 1
+    return [patterns if n == 1 else patterns.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) for k in range(n)]
+
+
 def small(patterns: DataFrame, column: str = "text", limit: int = BROADCAST) -> DataFrame:
     """The patterns, marked for broadcast if their texts are within the limit."""
     size = patterns.agg(F.sum(F.octet_length(column))).first()[0] or 0
     return F.broadcast(patterns) if size <= limit else patterns
 
 
-def in_blocks(patterns: DataFrame, key: str, column: str, limit: int = BROADCAST) -> list[DataFrame]:
-    """The patterns in blocks whose texts are each within about the limit, marked for broadcast; usually one block."""
-    size = patterns.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    n = size // max(1, limit) + 1
-    return [F.broadcast(patterns if n == 1 else patterns.where(F.pmod(F.xxhash64(key), F.lit(n)) == k)) for k in range(n)]
+def occurring(files: DataFrame, patterns: DataFrame, pattern: str, alone: str | None = None, limit: int = BROADCAST) -> DataFrame:
+    """(path, the columns of patterns but the pattern): each pattern that occurs in a file's text, once. Empty and null texts match nothing.
+
+    files (path, text). The patterns are a query set that meets all files in blocks of bounded size; a block is one automaton, so a file is
+    read once whatever the number of patterns. alone='word': an occurrence counts only between blanks or ends; 'letters': only
+    with no letter or digit on either side.
+    """
+    f = files.where("text is not null and text <> ''").select("path", "text")
+    names = [c for c in patterns.columns if c != pattern]
+    schema = T.StructType([f.schema["path"], *[patterns.schema[c] for c in names]])
+    kinds = to_arrow_schema(schema)
+
+    def scan(block: Broadcast):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            words: dict[str, list[int]] = {}
+            for i, row in enumerate(block.value):
+                words.setdefault(row[0], []).append(i)
+            automaton = ahocorasick.Automaton()
+            for word, rows in words.items():
+                automaton.add_word(word, (len(word), rows))
+            if words:
+                automaton.make_automaton()
+            for b in batches:
+                at, found = [], []
+                for k, text in enumerate(b.column(1).to_pylist() if words else ()):
+                    seen: set[int] = set()
+                    for end, (n, rows) in automaton.iter(text):
+                        if rows[0] not in seen and (not alone or _stands(text, end + 1 - n, end + 1, alone)):
+                            seen.update(rows)
+                    at += [k] * len(seen)
+                    found += sorted(seen)
+                columns = [pa.array([block.value[i][1 + c] for i in found], kinds.field(1 + c).type) for c in range(len(names))]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())).cast(kinds.field(0).type), *columns], names=schema.names)
+
+        return run
+
+    chosen = patterns.where(F.col(pattern) != "").select(pattern, *names)
+    sc = files.sparkSession.sparkContext
+    blocks = [sc.broadcast([tuple(r) for r in block.collect()]) for block in in_blocks(chosen, pattern, pattern, limit)]  # each within the limit
+    return reduce(DataFrame.unionByName, [f.mapInArrow(scan(b), schema) for b in blocks])
+
+
+def _stands(text: str, start: int, end: int, alone: str) -> bool:
+    before, after = text[start - 1 : start] if start else "", text[end : end + 1]
+    return before in ("", " ") and after in ("", " ") if alone == "word" else not _letter(before) and not _letter(after)
+
+
+def _letter(c: str) -> bool:
+    return c != "" and unicodedata.category(c)[0] in "LN"
 
 
 def contained(files: DataFrame, patterns: DataFrame, limit: int = BROADCAST) -> DataFrame:
-    """(path, seq, name): patterns whose text is part of a file's text, whatever the token borders. Empty and null texts match nothing.
+    """(path, seq, name): patterns whose text is part of a file's text, whatever the token borders.
 
-    files (path, text), patterns (seq, name, text). Containment is no equi-join: the patterns are a query set that meets all files
-    in blocks of bounded size.
+    files (path, text), patterns (seq, name, text).
     """
-    f = files.where("text is not null and text <> ''").select("path", "text")
-    p = patterns.where("text is not null and text <> ''").select("seq", "name", F.col("text").alias("pattern"))
-    match = F.contains("text", "pattern") & (F.length("pattern") <= F.length("text"))
-    return reduce(DataFrame.unionByName, [f.join(block, match).select("path", "seq", "name") for block in in_blocks(p, "seq", "pattern", limit)])
+    return occurring(files, patterns.select("text", "seq", "name"), "text", limit=limit)
 
 
 def full_matches(files: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -60,20 +113,10 @@ def distinct_terms(terms: DataFrame) -> DataFrame:
 def keywords(files: DataFrame, terms: DataFrame, limit: int = BROADCAST) -> DataFrame:
     """(path, category, cat_ord, norm, term_ord): terms that occur as whole words in the files' normalised texts.
 
-    Words of a term must follow one another. A block of terms, of bounded size, comes with the set of its first words: of a
-    file's words only those in the set are rows, and they meet the terms by an equi-join.
+    Words of a term must follow one another.
     """
-    t = distinct_terms(terms).withColumn("word", F.substring_index("norm", " ", 1))
-    f = files.where("text is not null and text <> ''").select("path", "text")
-    padded = F.concat(F.lit(" "), "text", F.lit(" "))
-    found = []
-    for block in in_blocks(t, "norm", "norm", limit):
-        first = [r.word for r in block.select("word").distinct().collect()]  # no more than the block, which is bounded
-        words = F.array(*[F.lit(w) for w in first]) if len(first) <= 2000 else None
-        mine = grams.tokens(F.col("text"))
-        rows = f.select("path", "text", F.explode(F.array_intersect(mine, words) if words is not None else F.array_distinct(mine)).alias("word")) if first else f.select("path", "text", F.lit("").alias("word")).where("false")
-        found.append(rows.join(block, "word").where(F.contains(padded, F.concat(F.lit(" "), "norm", F.lit(" ")))).select("path", "category", "cat_ord", "norm", "term_ord"))
-    return reduce(DataFrame.unionByName, found)
+    t = distinct_terms(terms)
+    return occurring(files, t.withColumn("_term", F.col("norm")), "_term", "word", limit).select("path", "category", "cat_ord", "norm", "term_ord")
 
 
 def keyword_map(files: DataFrame, terms: DataFrame) -> DataFrame:
@@ -83,12 +126,10 @@ def keyword_map(files: DataFrame, terms: DataFrame) -> DataFrame:
     return by.groupBy("path").agg(F.map_from_entries(entries).alias("keyword_matches"))
 
 
-def standalone_keywords(files: DataFrame, terms: DataFrame) -> DataFrame:
+def standalone_keywords(files: DataFrame, terms: DataFrame, limit: int = BROADCAST) -> DataFrame:
     """(path, category, norm): terms that occur with no letter or digit on either side; every term, equal norms too."""
-    f = files.where("text is not null and text <> ''").select("path", "text")
-    t = terms.where("norm <> ''").select("category", "norm").distinct()
-    around = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), "norm", F.lit(r"\E(?![\p{L}\p{N}])"))
-    return reduce(DataFrame.unionByName, [f.join(b, F.contains("text", "norm")).where(F.call_function("rlike", F.col("text"), around)).select("path", "category", "norm") for b in in_blocks(t, "norm", "norm")])
+    t = terms.where("norm <> ''").select("category", "norm").distinct().withColumn("_term", F.col("norm"))
+    return occurring(files, t, "_term", "letters", limit)
 
 
 def align(file: list[str], pattern: list[str], i: int, j: int, anchor: int = grams.ANCHOR, ahead: int = LOOKAHEAD) -> tuple[int, int]:
@@ -111,54 +152,87 @@ def align(file: list[str], pattern: list[str], i: int, j: int, anchor: int = gra
     return matches, last
 
 
-def anchor_candidates(files: DataFrame, patterns: DataFrame, n: int = grams.ANCHOR) -> DataFrame:
-    """(path, seq, i, j): heads of the diagonal runs of shared anchors, of which the alignments can pass half of the pattern.
+def anchor_candidates(files: DataFrame, patterns: DataFrame, n: int = grams.ANCHOR, threshold: float = 50.0) -> DataFrame:
+    """(path, seq, i, j): heads of the diagonal runs of shared anchors, of which the alignments can pass the threshold.
 
     A hit whose predecessor on the diagonal is a hit too aligns to one match less, so only heads count; and a hit too near
     either end can't reach the threshold. Both leave every maximum as it is.
     """
-    f = grams.anchor_rows(files.where("text <> ''").select("path", grams.tokens(F.col("text")).alias("w")), "w", ["path"], n).withColumnRenamed("pos", "i")
-    lengths = files.select("path", F.size(grams.tokens(F.col("text"))).alias("n_file"))
-    p = patterns.select("seq", F.col("text").alias("pattern"), grams.tokens(F.col("text")).alias("w"))
+    words = files.where("text <> ''").select("path", grams.tokens(F.col("text")).alias("w")).withColumn("n_file", F.size("w"))
+    f = grams.anchor_rows(words, "w", ["path", "n_file"], n).withColumnRenamed("pos", "i")
+    p = patterns.select("seq", grams.tokens(F.col("text")).alias("w"))
     p = small(grams.anchor_rows(p.select("seq", F.size("w").alias("n_pattern"), "w"), "w", ["seq", "n_pattern"], n).withColumnRenamed("pos", "j"), "gram")
-    hits = f.join(p, "gram").select("path", "seq", "n_pattern", "i", "j")
+    hits = f.join(p, "gram").select("path", "n_file", "seq", "n_pattern", "i", "j")
     diagonal = Window.partitionBy("path", "seq", F.col("i") - F.col("j")).orderBy("i")
     heads = hits.withColumn("before", F.lag("i").over(diagonal)).where("before is null or before <> i - 1")
-    heads = heads.join(lengths, "path").where("2 * least(n_file - i, n_pattern - j) > n_pattern")
-    return heads.select("path", "seq", "i", "j")
-
-
-def fuzzy(files: DataFrame, patterns: DataFrame, threshold: float = 50.0, n: int = grams.ANCHOR, ahead: int = LOOKAHEAD) -> DataFrame:
+    return heads.where(F.least(F.col("n_file") - F.col("i"), F.col("n_pattern") - F.col("j")) > F.col("n_pattern") * (threshold / 100.0)).select("path", "seq", "i", "j")
+
+
+class _Anchors:
+    """The patterns of a block: their words, and where each anchor is."""
+
+    def __init__(self, rows: list[tuple], n: int):
+        self.words = [row[2].split(" ") for row in rows]
+        self.at: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+        for k, w in enumerate(self.words):
+            for j in range(len(w) - n + 1):
+                self.at.setdefault(tuple(w[j : j + n]), []).append((k, j))
+
+    def heads(self, f: list[str], n: int, share: float) -> dict[int, list[tuple[int, int]]]:
+        """(i, j) of the heads of shared runs, by pattern, where an alignment can pass the share."""
+        out: dict[int, list[tuple[int, int]]] = {}
+        before: set[tuple[int, int]] = set()
+        for i, gram in enumerate(zip(*(f[k:] for k in range(n)))):
+            hits = self.at.get(gram)
+            if hits is None:
+                before = set()
+                continue
+            for k, j in hits:
+                if (k, j - 1) not in before and min(len(f) - i, len(self.words[k]) - j) > share * len(self.words[k]):
+                    out.setdefault(k, []).append((i, j))
+            before = set(hits)
+        return out
+
+
+def fuzzy(files: DataFrame, patterns: DataFrame, threshold: float = 50.0, n: int = grams.ANCHOR, ahead: int = LOOKAHEAD, limit: int = BROADCAST) -> DataFrame:
     """(path, seq, license_name, match_percent, start_index, end_index, matched_substring, expected_versions, found_versions).
 
     The best alignment of each file and pattern above the threshold; of equal ones the first in the file, then in the pattern. files
     (path, text), patterns (seq, name, text), texts normalised. Null and empty texts, and patterns shorter than an anchor, match nothing.
+    A file is looked at in its own batch, with the anchors of a block of patterns of bounded size: nothing is shuffled.
     """
-    candidates = anchor_candidates(files, patterns, n).groupBy("path", "seq").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("at"))
-    rows = candidates.join(files.select("path", "text"), "path").join(small(patterns.select("seq", "name", F.col("text").alias("pattern")), "pattern"), "seq")
-    path = files.schema["path"].dataType.simpleString()
-    seq = patterns.schema["seq"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, percent, start, end, found = [], [], [], [], []
-            for k, (text, pattern, hits) in enumerate(zip(*(b.column(c).to_pylist() for c in (3, 4, 5)))):
-                f, p = text.split(" "), pattern.split(" ")
-                best = None
-                for h in hits:
-                    matches, last = align(f, p, h["i"], h["j"], n, ahead)
-                    if best is None or matches > best[0]:
-                        best = matches, h["i"], last
-                value = best[0] / len(p) * 100.0
-                if value > threshold:
-                    at.append(k), percent.append(value), start.append(best[1]), end.append(best[2]), found.append(" ".join(f[best[1] : best[2] + 1]))
-            got = b.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [got.column(0), got.column(1), got.column(2), pa.array(percent, pa.float64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(found, pa.string())],
-                names=["path", "seq", "license_name", "match_percent", "start_index", "end_index", "matched_substring"],
-            )
-
-    found = rows.select("path", "seq", "name", "text", "pattern", "at").mapInArrow(run, f"path {path}, seq {seq}, license_name string, match_percent double, start_index int, end_index int, matched_substring string")
+    f = files.where("text is not null and text <> ''").select("path", "text")
+    kind = T.StructType([f.schema["path"], patterns.schema["seq"]]).add("license_name", "string").add("match_percent", "double").add("start_index", "integer").add("end_index", "integer").add("matched_substring", "string")
+    types = to_arrow_schema(kind)
+
+    def scan(block: Broadcast):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = block.value
+            known = _Anchors(rows, n)
+            for b in batches:
+                at, of, percent, start, end, found = [], [], [], [], [], []
+                for r, text in enumerate(b.column(1).to_pylist()):
+                    w = text.split(" ")
+                    for k, heads in known.heads(w, n, threshold / 100.0).items():
+                        best = None
+                        for i, j in heads:
+                            matches, last = align(w, known.words[k], i, j, n, ahead)
+                            if best is None or matches > best[0]:
+                                best = matches, i, last
+                        value = best[0] / len(known.words[k]) * 100.0
+                        if value > threshold:
+                            at.append(r), of.append(k), percent.append(value), start.append(best[1]), end.append(best[2]), found.append(" ".join(w[best[1] : best[2] + 1]))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(at, pa.int64())).cast(types.field(0).type), pa.array([rows[k][0] for k in of], types.field(1).type), pa.array([rows[k][1] for k in of], pa.string()), pa.array(percent, pa.float64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(found, pa.string())],
+                    names=kind.names,
+                )
+
+        return run
+
+    sc = files.sparkSession.sparkContext
+    chosen = patterns.where("text <> ''").select("seq", "name", "text")
+    blocks = [sc.broadcast(sorted([tuple(r) for r in block.collect()], key=lambda r: r[0])) for block in in_blocks(chosen, "seq", "text", limit)]  # each within the limit
+    found = reduce(DataFrame.unionByName, [f.mapInArrow(scan(b), kind) for b in blocks])
     return found.withColumns({"expected_versions": versions_of_name(F.col("license_name")), "found_versions": whole_numbers(versions_in_text(F.col("matched_substring")))})
 
 

@@ -21,21 +21,20 @@ class Assessment:
     removed: DataFrame | None = None
 
 
-def assess_table(files: DataFrame, full_texts: DataFrame, headers: DataFrame, keyword_terms: DataFrame, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(files with their results, fuzzy matches) of files (file_path, text, ...), full_texts and headers (seq, name, text).
+def assess_table(files: DataFrame, full_texts: DataFrame, headers: DataFrame, keyword_terms: DataFrame, key: str = "file_path") -> tuple[DataFrame, DataFrame]:
+    """(files with their results, fuzzy matches) of files (key unique, text, ...), full_texts and headers (seq, name, text).
 
     license_names holds the exact names in pattern order, then the fuzzy winners. The texts are used by all searches, so a
     caller whose `files` is costly should hand in a written table.
     """
-    texts = files.select(F.col("file_path").alias("path"), "text")
+    texts = files.select(F.col(key).alias("path"), "text")
     exact = search.full_matches(texts, full_texts)
-    fuzzy = search.fuzzy(texts, headers)
-    fuzzy = written(fuzzy, "fuzzy") if names is None else fuzzy
+    fuzzy = written(search.fuzzy(texts, headers), "fuzzy")
     best = search.resolve(fuzzy).select("path", "selected", F.col("license_name").alias("fuzzy_license_match"), "match_percent")
     words = search.keyword_map(texts, keyword_terms)
     none = F.array().cast("array<string>")
-    out = files.join(exact.withColumnRenamed("path", "file_path").withColumnRenamed("license_names", "exact"), "file_path", "left")
-    out = out.join(best.withColumnRenamed("path", "file_path"), "file_path", "left").join(words.withColumnRenamed("path", "file_path"), "file_path", "left")
+    out = files.join(exact.withColumnsRenamed({"path": key, "license_names": "exact"}), key, "left")
+    out = out.join(best.withColumnRenamed("path", key), key, "left").join(words.withColumnRenamed("path", key), key, "left")
     out = out.withColumn("license_names", F.concat(F.coalesce("exact", none), F.coalesce("selected", none))).drop("exact", "selected")
     return out, fuzzy
 

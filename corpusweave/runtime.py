@@ -95,6 +95,13 @@ def _clear_all() -> None:
         clear(name)
 
 
+def scratch(spark: SparkSession, what: str, ending: str = "") -> str:
+    """A place in the shared folder for other than tables, removed as they are."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}{ending}"
+    _written.setdefault(_scope.get(), []).append((spark, path))
+    return path
+
+
 def written(df: DataFrame, what: str = "table") -> DataFrame:
     """Cut lineage: write df as Parquet to the shared folder and read it back.
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import posixpath
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,46 +63,106 @@ def get_bool(p: dict[str, str], key: str, default: bool = False) -> bool:
 
 
 def get_int(p: dict[str, str], key: str, default: int = 0) -> int:
-    try:
-        return int(p[key])
-    except (KeyError, ValueError):
-        return default
+    """The number of a key, the default where it is missing; what is no number raises ValueError."""
+    return int(p[key]) if key in p else default
 
 
-def walk(root: str) -> list[tuple[str, str]]:
-    """(absolute, relative) paths below a folder, names with a leading dot and empty files too; or of one file."""
-    if os.path.isfile(root):
-        return [(os.path.abspath(root), os.path.basename(root))]
-    if not os.path.isdir(root):
-        raise ValueError(f"no file or folder: {root}")
-    out = []
-    for folder, dirs, names in os.walk(root):
-        dirs.sort()
-        out += [(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), root).replace(os.sep, "/")) for n in sorted(names)]
-    return out
+def value(p: dict[str, str], key: str, parts: Sequence[str] = (), separator: bool = False) -> str:
+    """The value of a key (KeyError without one), joined with further path parts, if wanted with a separator at the end."""
+    path = posixpath.join(p[key], *parts) if parts else p[key]
+    return path + "/" if separator and not path.endswith("/") else path
+
+
+def filesystem(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or address (file, hdfs, object stores) and the path in it."""
+    return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), os.path.abspath(root))
+
+
+def _below(files: fs.FileSystem, folder: str) -> Iterator[fs.FileInfo]:
+    """Files below a folder, names with a leading dot and empty ones too, folder by folder."""
+    todo = [folder]
+    while todo:
+        for x in files.get_file_info(fs.FileSelector(todo.pop())):
+            if x.type == fs.FileType.Directory:
+                todo.append(x.path)
+            elif x.type == fs.FileType.File:
+                yield x
+
+
+def _relative(path: str, root: str) -> str:
+    return path[len(root) :].lstrip("/")
 
 
 def read_tree(spark: SparkSession, root: str, archives: bool = True) -> DataFrame:
-    """(path, content, extract_error) of a tree that driver and executors both see.
+    """(path, content, extract_error) of a tree, or of one file, that driver and executors both see.
 
-    Only paths are listed on the driver; tasks read the contents. The built-in binary source would drop empty files and names with
-    a leading dot. Unreadable files are left out.
+    The driver lists the upper folders only, until there is one for each core; tasks walk what is below and then, spread anew, read
+    the contents. The built-in binary source would drop empty files and names with a leading dot. Unreadable files are left out.
     """
-    paths = walk(root)
-    slices = max(1, min(len(paths), spark.sparkContext.defaultParallelism * 4))
-    listing = spark.createDataFrame(pd.DataFrame(paths, columns=["at", "path"]), "at string, path string").repartition(slices)
+    files, base = filesystem(root)
+    top = files.get_file_info(base)
+    if top.type == fs.FileType.NotFound:
+        raise ValueError(f"no file or folder: {root}")
+    cores = spark.sparkContext.defaultParallelism
+    if top.type == fs.FileType.File:
+        base, entries = os.path.dirname(base), [(top.path, False)]
+    else:
+        entries, level = [], [base]
+        for _ in range(4):
+            found = [x for folder in level for x in files.get_file_info(fs.FileSelector(folder))]
+            entries += [(x.path, False) for x in found if x.type == fs.FileType.File]
+            level = [x.path for x in found if x.type == fs.FileType.Directory]
+            if len(level) >= cores or not level:
+                break
+        entries += [(x, True) for x in level]
+    entries = spark.createDataFrame(pd.DataFrame(entries, columns=["at", "folder"]), "at string, folder boolean").repartition(max(1, min(len(entries), 4 * cores)))
+
+    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine, _ = filesystem(root)
+        for frame in frames:
+            yield pd.DataFrame({"at": frame["at"][~frame["folder"]]})
+            for folder in frame["at"][frame["folder"]]:
+                paths = []
+                for x in _below(mine, folder):
+                    paths.append(x.path)
+                    if len(paths) == 10_000:
+                        yield pd.DataFrame({"at": paths})
+                        paths = []
+                yield pd.DataFrame({"at": paths}, dtype=object)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine, _ = filesystem(root)
         for frame in frames:
-            for at, path in zip(frame["at"], frame["path"]):
+            for at in frame["at"]:
                 try:
-                    data = Path(at).read_bytes()
+                    with mine.open_input_stream(at, compression=None) as f:
+                        data = f.read()
                 except OSError:
                     continue
-                yield pd.DataFrame({"path": [path], "content": [data]})
+                yield pd.DataFrame({"path": [_relative(at, base)], "content": [data]})
+
+    rows = entries.mapInPandas(listed, "at string").repartition(4 * cores).mapInPandas(run, "path string, content binary")
+    return expand_rows(rows) if archives else rows.withColumn("extract_error", F.lit(None).cast("string"))
+
+
+def write_tree(rows: DataFrame, root: str) -> None:
+    """The rows (path, content) as files below a folder that all executors see; paths are unique and relative."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine, base = filesystem(root)
+        made, n = set(), 0
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"]):
+                at = f"{base}/{path}"
+                if (folder := os.path.dirname(at)) not in made:
+                    mine.create_dir(folder)
+                    made.add(folder)
+                with mine.open_output_stream(at, compression=None) as f:
+                    f.write(bytes(content))
+                n += 1
+        yield pd.DataFrame({"n": [n]})
 
-    files = listing.mapInPandas(run, "path string, content binary")
-    return expand_rows(files) if archives else files.withColumn("extract_error", F.lit(None).cast("string"))
+    rows.select("path", "content").mapInPandas(run, "n long").agg(F.sum("n")).collect()
 
 
 def file_rows(tree: DataFrame, algorithm: str = "sha256", ignored: Sequence[str] = ("src/test",)) -> DataFrame:
@@ -121,28 +183,36 @@ def read_patterns(spark: SparkSession, folders: Sequence[str]) -> DataFrame:
     """
     rows = []
     for k, folder in enumerate(folders):
-        if not os.path.isdir(folder):
+        files, base = filesystem(folder)
+        if files.get_file_info(base).type != fs.FileType.Directory:
             continue
-        for at, path in walk(folder):
-            if path.lower().endswith(".txt"):
+        for x in _below(files, base):
+            if x.path.lower().endswith(".txt"):
                 try:
-                    body = Path(at).read_text("utf-8").strip()
+                    with files.open_input_stream(x.path, compression=None) as f:
+                        body = f.read().decode().strip()
                 except (OSError, UnicodeDecodeError):
                     continue
                 if body:
-                    rows.append((k, path, body))
+                    rows.append((k, _relative(x.path, base), body))
     rows.sort(key=lambda r: (r[0], r[1]))
     df = spark.createDataFrame([(i, p, t) for i, (_, p, t) in enumerate(rows)], "seq int, path string, raw string")
     return df.select("seq", "path", T.licence_name(F.col("path")).alias("name"), T.normalize(F.col("raw")).alias("text"))
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """A snapshot, Parquet or JSON (lines or one array); an absent one is empty."""
-    if "://" not in path and not os.path.exists(path):
+    """A snapshot, Parquet or JSON (lines, or one file with one array, which is one task); an absent one is empty."""
+    files, at = filesystem(path)
+    kind = files.get_file_info(at).type
+    if kind == fs.FileType.NotFound:
         return spark.createDataFrame([], SNAPSHOT)
-    if path.endswith(".json") and os.path.isfile(path):
-        return spark.read.schema(SNAPSHOT).json(path, multiLine=Path(path).read_text("utf-8")[:64].lstrip().startswith("["))
-    return spark.read.schema(SNAPSHOT).parquet(path) if not path.endswith(".json") else spark.read.schema(SNAPSHOT).json(path)
+    if not path.endswith(".json"):
+        return spark.read.schema(SNAPSHOT).parquet(path)
+    head = b""
+    if kind == fs.FileType.File:
+        with files.open_input_stream(at, compression=None) as f:
+            head = f.read(64)
+    return spark.read.schema(SNAPSHOT).json(path, multiLine=head.lstrip(b"\xef\xbb\xbf \t\r\n").startswith(b"["))
 
 
 def licence_list(spark: SparkSession, path: str) -> DataFrame:

@@ -45,6 +45,8 @@ def test_fuzzy_against_brute_force(spark):
     df = spark.createDataFrame(files, FILES).withColumn("seq", F.lit(7)).withColumn("name", F.lit("clash"))
     got = search.fuzzy(df, spark.createDataFrame(patterns, PATTERNS).withColumn("path", F.lit("clash"))).collect()
     expected = brute(files, patterns)
+    by_block = search.fuzzy(df, spark.createDataFrame(patterns, PATTERNS), limit=200)
+    assert {(r.path, r.seq) for r in by_block.collect()} == set(expected)
     assert {(r.path, r.seq): (r.match_percent, r.matched_substring) for r in got} == expected and len(expected) > 20
 
 
@@ -63,6 +65,8 @@ def test_keywords(spark):
     terms = spark.createDataFrame([("g", 1, 0, "open source"), ("l", 0, 1, "license"), ("l", 0, 2, "license"), ("l", 0, 3, "")], "category string, cat_ord int, term_ord int, norm string")
     assert {(r.path, r.norm, r.term_ord) for r in search.keywords(files, terms).collect()} == {(1, "open source", 0), (1, "license", 1)}
     assert {(r.path, r.norm) for r in search.standalone_keywords(files, terms).collect()} == {(1, "open source"), (1, "license"), (3, "license")}
+    for limit in (10**6, 0):
+        assert search.keywords(files, terms, limit).count() == 2 and search.standalone_keywords(files, terms.where("false"), limit).count() == 0
     assert search.keyword_map(files, terms).collect()[0].keyword_matches == {"l": ["license"], "g": ["open source"]}
 
 

@@ -98,11 +98,49 @@ def test_assess_and_reports(spark, tree):
     assert [r.path for r in report] == ["a.py", "b.txt", "z/in/LICENSE"] and {r.percent for r in report} == {"100.00"}
 
 
+def test_trees_and_values(spark, tree):
+    names = {"a.py", "b.txt", ".hidden", "bin", "src/test/t.py"}
+    got = {r.path: bytes(r.content) for r in scan.read_tree(spark, str(tree / "src")).collect()}
+    assert set(got) == names | {"z/in/LICENSE"} and got[".hidden"] == b""
+    assert {r.path for r in scan.read_tree(spark, f"file://{tree}/src/a.py").collect()} == {"a.py"}
+    assert {r.path for r in scan.read_tree(spark, f"file://{tree}/src", archives=False).collect()} == names | {"z.tar.gz"}
+    (tree / "none").mkdir()
+    assert scan.read_tree(spark, str(tree / "none")).count() == 0
+    with pytest.raises(ValueError):
+        scan.read_tree(spark, str(tree / "absent"))
+    scan.write_tree(spark.createDataFrame([("x/y", bytearray(b"1")), ("z", bytearray(b""))], "path string, content binary"), str(tree / "out"))
+    assert {r.path: bytes(r.content) for r in scan.read_tree(spark, str(tree / "out")).collect()} == {"x/y": b"1", "z": b""}
+    p = {"A": "/x", "n": "7", "bad": "y"}
+    assert (scan.value(p, "A"), scan.value(p, "A", ["b", "c"], True), scan.value(p, "A", separator=True)) == ("/x", "/x/b/c/", "/x/")
+    with pytest.raises(ValueError):
+        scan.get_int(p, "bad")
+    (tree / "array.json").write_text(' [{"file_path": "p", "licenses": ["L"]}]')
+    assert scan.read_snapshot(spark, str(tree / "array.json")).collect()[0].licenses == ["L"]
+
+
+def test_scopes(spark, tmp_path):
+    from pathlib import Path
+
+    from corpusweave import runtime
+
+    outside = runtime.written(spark.range(3), "outside")
+    with runtime.scope():
+        inside = runtime.written(spark.range(5), "inside")
+        superseded = runtime.written(spark.range(5), "superseded")
+        runtime.free(superseded)
+        at = [Path(x._corpusweave_path.removeprefix("file://")) for x in (outside, inside, superseded)]
+        assert [p.exists() for p in at] == [True, True, False] and inside.count() == 5
+    assert [p.exists() for p in at] == [True, False, False] and outside.count() == 3
+    spark.range(40).write.parquet(str(tmp_path / "t"))
+    assert runtime.spread(spark.range(9).repartition(1)).rdd.getNumPartitions() == 1
+    assert runtime.spread(spark.read.parquet(str(tmp_path / "t")).where("id > 3").limit(5)).rdd.getNumPartitions() <= 4
+
+
 def test_properties_and_lists(spark, tmp_path):
     p = tmp_path / "p.properties"
     p.write_text("# no\n; no\n\na=1\nb: x:y\nc=d:e\na=2\nIGNORE_DIRS=src/test, src\\\\test\nflag=Yes\n")
     got = scan.load_properties(str(p))
-    assert got["a"] == "2" and got["b"] == "x:y" and got["c"] == "d:e" and scan.get_bool(got, "flag") and scan.get_int(got, "a") == 2 and scan.get_int(got, "b", 7) == 7
+    assert got["a"] == "2" and got["b"] == "x:y" and got["c"] == "d:e" and scan.get_bool(got, "flag") and scan.get_int(got, "a") == 2 and scan.get_int(got, "absent", 7) == 7
     assert scan.Config.of(got, "s").ignored == ("src/test", "src\\\\test")
     (tmp_path / "l.json").write_text(json.dumps({"licenses": [{"licenseId": "A", "name": "a", "detailsUrl": "u"}, {"licenseId": "B", "detailsUrl": "u", "isDeprecatedLicenseId": True}, {"licenseId": "", "detailsUrl": "u"}, {"licenseId": "C"}]}))
     assert [r.license_id for r in scan.licence_list(spark, str(tmp_path / "l.json")).collect()] == ["A"]
