@@ -4,7 +4,9 @@ A text over the limit becomes a string of units, one character a token, that nam
 token: H before a heading, P paragraph, L line, S sentence, W word, C any other whole character, x none (inside a
 character), E the end. One regular expression takes the pieces from that string: its alternatives, by strength,
 consume up to the limit and end at their boundary; the last falls back to characters. Overlap is a lookback by a
-second expression over the units before a piece. Both, and the offsets, are SQL array functions.
+second expression over the units before a piece. Both, and the offsets, are SQL array functions. Text and units also come as arrays of
+chunks of a fixed length, and a piece is put together from the few chunks it lies in: what a piece costs doesn't
+depend on how far into the text it is, and the work grows with the text, not with its square.
 
 H to W are boundaries of pre-tokens, and C cuts inside one keep the tokens on either side as they are; so the tokens
 of a piece, encoded on its own, are its units, and no piece has to be encoded again.
@@ -18,13 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusweave.llm.tokenizing import TOKENIZERS, encode_all, encoding
 from corpusweave.runtime import spread
 
+#: Characters and units in a chunk, and pieces whose places are summed up together.
+CHUNK, BLOCK = 4096, 256
+
 # Blanks and line ends at a cut go with what follows: there they are the pre-tokens that they are in the whole text, while
 # behind a cut's last word they would be read as one. So a boundary lies where a run of blanks begins, and its strength is what the
 # run holds: no line end, one, several, or several and a heading behind it.
@@ -90,6 +95,22 @@ def pieces_pattern(body: int) -> str:
     return f".{{0,{body - 1}}}E|{strong}|.{{0,{body - 1}}}[HPLSW]|.{{0,{body - 1}}}[^x]|.{{1,{body}}}"
 
 
+def _chunks(text: str) -> list[str]:
+    return [text[i : i + CHUNK] for i in range(0, len(text), CHUNK)]
+
+
+def _cut(chunks: str, start: Column, end: Column) -> Column:
+    """The characters [start, end) of a text that comes in chunks; end is above start, or both are 0."""
+    first = F.floor(start / CHUNK).cast("int")
+    last = F.floor(F.greatest(end - 1, F.lit(0)) / CHUNK).cast("int")
+    return F.substring(F.array_join(F.slice(chunks, first + 1, last - first + 1), ""), start - first * CHUNK + 1, end - start)
+
+
+def _sums(numbers: Column, start: Column) -> Column:
+    """start, and the sums up to each of the numbers."""
+    return F.aggregate(numbers, F.array(start), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
+
+
 def split(df: DataFrame, limit: int = 512, overlap: int = 32, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """A row for each piece of each text of more than `limit` tokens.
 
@@ -100,32 +121,41 @@ def split(df: DataFrame, limit: int = 512, overlap: int = 32, key: str = "doc_id
     if limit < 2 * overlap + 16 or overlap < 0:
         raise ValueError("limit must be at least 2 * overlap + 16, overlap at least 0")
     kind = df.schema[key].dataType
-    schema = T.StructType([T.StructField(key, kind), T.StructField(text, T.StringType()), T.StructField("units", T.StringType()), T.StructField("ends", T.ArrayType(T.IntegerType()))])
+    strings = T.ArrayType(T.StringType())
+    schema = T.StructType([T.StructField(key, kind), T.StructField("units", T.StringType()), T.StructField("ends", T.ArrayType(T.IntegerType())), T.StructField("texts", strings), T.StructField("unit_chunks", strings)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, lengths = encoding(name, folder), _lengths(name, folder)
         for b in batches:
             texts = b.column(1).to_pylist()
-            at, strings, ends = [], [], []
+            at, strings, ends, chunks, unit_chunks = [], [], [], [], []
             # a token has at least one byte: a text of at most `limit` bytes isn't longer than `limit` tokens
             long = [i for i, t in enumerate(texts) if t and (len(t) > limit or len(t) * 4 > limit and len(t.encode()) > limit)]
             for i, ids in zip(long, encode_all(enc, [texts[i] for i in long])):
                 if len(ids) > limit:
                     u, e = units(texts[i], ids, lengths)
-                    at.append(i), strings.append(u), ends.append(e.astype(np.int32))
-            got = b.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([got.column(0), got.column(1), pa.array(strings, pa.string()), pa.array(ends, pa.list_(pa.int32()))], names=[key, text, "units", "ends"])
+                    at.append(i), strings.append(u), ends.append(e.astype(np.int32)), chunks.append(_chunks(texts[i])), unit_chunks.append(_chunks(u))
+            lists = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(at, pa.int64())), pa.array(strings, pa.string()), pa.array(ends, pa.list_(pa.int32())), pa.array(chunks, lists), pa.array(unit_chunks, lists)], names=[key, "units", "ends", "texts", "unit_chunks"]
+            )
 
     long = spread(df.select(key, text)).where(f"{text} is not null").mapInArrow(run, schema)
     body = limit - overlap
-    sizes = F.transform(F.regexp_extract_all("units", F.lit(f"(?s){pieces_pattern(body)}"), F.lit(0)), F.length)
-    cut = F.aggregate("sizes", F.array(F.lit(0)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
-    long = long.select(key, text, "units", "ends", sizes.alias("sizes")).select(key, text, "units", "ends", cut.alias("cuts"))
+    parts = F.regexp_extract_all("units", F.lit(f"(?s){pieces_pattern(body)}"), F.lit(0))
+    long = long.select(key, "ends", "texts", "unit_chunks", parts.alias("parts"))
+    sizes = F.transform("parts", F.length)
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size("sizes") / BLOCK).cast("int") - 1), lambda k: F.slice("sizes", k * BLOCK + 1, F.lit(BLOCK)))
+    long = long.withColumn("sizes", sizes).withColumn("blocks", blocks)
+    long = long.withColumn("before", _sums(F.transform("blocks", lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x)), F.lit(0)))
+    inner = F.zip_with("blocks", F.slice("before", 1, F.size("blocks")), lambda b, o: F.slice(_sums(b, o), 2, F.size(b)))
+    long = long.select(key, "ends", "texts", "unit_chunks", "parts", F.concat(F.array(F.lit(0)), F.flatten(inner)).alias("cuts"))
 
     def row(k):
         first, last = F.element_at("cuts", k + 1), F.element_at("cuts", k + 2)
         # behind the earliest word or stronger boundary among the units that may be repeated, else the earliest character
-        tail = F.substring(F.col("units"), F.greatest(first - overlap, F.lit(1)), F.least(first, F.lit(overlap + 1)))
+        from_u = F.greatest(first - overlap - 1, F.lit(0))
+        tail = _cut("unit_chunks", from_u, first)
         kinds = F.when(tail.rlike("[HPLSW]"), "[HPLSW](.*)$").otherwise("[^x](.*)$")
         back = F.when((k == 0) | ~tail.rlike("[^x]"), 0).otherwise(F.length(F.call_function("regexp_extract", tail, kinds, F.lit(1))))
         start_u = first - back
@@ -133,7 +163,7 @@ def split(df: DataFrame, limit: int = 512, overlap: int = 32, key: str = "doc_id
         end = F.element_at("ends", last)
         return F.struct(
             k.alias("piece_no"), start.alias("start_char"), end.alias("end_char"), back.alias("overlap_tokens"), (last - start_u).alias("n_tokens"),
-            F.substring(F.col("units"), last, F.lit(1)).alias("boundary"), F.substring(F.col(text), start + 1, end - start).alias("piece"),
+            F.right(F.element_at("parts", k + 1), F.lit(1)).alias("boundary"), _cut("texts", start, end).alias("piece"),
         )
 
     return long.select(key, F.inline(F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), row)))
