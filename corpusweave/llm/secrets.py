@@ -1,17 +1,18 @@
 """Credentials in source and configuration files: finding them and redacting only their values.
 
-One deterministic automaton (Aho-Corasick) holds what every kind of credential begins with or is announced by: token formats,
-key armor, connection strings, authorization headers, and the names that assignments give secrets. A text is scanned once, in
-chunks that overlap by the longest entry, and absolute positions are deduplicated. At each hit the grammar of its kind is
-matched in place on the whole text, so no chunk border can cut a credential. Overlapping spans are merged and
-the values, and nothing else, are replaced by a placeholder; quotes, armor and line ends stay.
+Token formats, key armor, connection strings, authorization headers, and assignments to names that announce secrets are the
+grammars of one deterministic automaton (see automaton.py), which also says which characters are the value. It is entered at
+the literals that grammars begin with: a text is scanned once for these, in chunks that overlap by the longest, and absolute positions are
+deduplicated; from each the automaton runs over the whole text, so no chunk border can cut a credential. Overlapping
+spans are merged and the values, and nothing else, are replaced by a placeholder; quotes, armor and line ends stay.
 
-Values that nobody can use are none: placeholders, empty values, references to where a value is kept, calls.
+Values that nobody can use are none: placeholders, empty values, references to where a value is kept, calls, digests.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
 import re
 from collections.abc import Iterator
@@ -20,59 +21,79 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusweave.llm.automaton import Automaton
 from corpusweave.llm.lookalike import all_folds
 from corpusweave.runtime import spread
 
 CHUNK = 1 << 16
 PLACEHOLDER = "REDACTED"
 
-# Names that announce a secret where they end a key.
-NAMES = ("password", "passwd", "passphrase", "pwd", "pass", "secret", "token", "api_key", "apikey", "api-key", "access_key", "accesskey", "access-key", "secret_key", "secretkey", "private_key", "privatekey", "auth_key", "authkey", "credential", "credentials", "passcode")
+# Names that announce a secret where they end a key; the first of them announce passwords, which people make up.
+PASSWORDS = ("password", "passwd", "passphrase", "pwd", "pass", "passcode", "secret")
+NAMES = (*PASSWORDS, "token", "api_key", "apikey", "api-key", "access_key", "accesskey", "access-key", "secret_key", "secretkey", "private_key", "privatekey", "auth_key", "authkey", "account_key", "accountkey", "sharedaccesskey", "signing_key", "encryption_key", "credential", "credentials")
 # Beginnings of token formats and the whole format.
 FORMATS = {
-    "zbt-": r"zbt-[A-Za-z0-9]{8,}(?:-[A-Za-z0-9]{8,})?", "qrn_live_": r"qrn_live_[A-Za-z0-9]{16,}", "hvk": r"HVK[A-Z0-9]{17}(?![A-Za-z0-9])",
-    "eyj": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "akia": r"AKIA[0-9A-Z]{16}(?![0-9A-Z])", "ghp_": r"ghp_[A-Za-z0-9]{36}", "gho_": r"gho_[A-Za-z0-9]{36}",
+    "zbt-": r"zbt-[A-Za-z0-9]{8,}(?:-[A-Za-z0-9]{8,})?", "qrn_live_": r"qrn_live_[A-Za-z0-9]{16,}", "HVK": r"HVK[A-Z0-9]{17}",
+    "eyJ": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "AKIA": r"AKIA[0-9A-Z]{16}", "ASIA": r"ASIA[0-9A-Z]{16}", "ghp_": r"ghp_[A-Za-z0-9]{36}", "gho_": r"gho_[A-Za-z0-9]{36}",
     "ghs_": r"ghs_[A-Za-z0-9]{36}", "github_pat_": r"github_pat_[A-Za-z0-9_]{60,}", "glpat-": r"glpat-[A-Za-z0-9_-]{20,}", "xoxb-": r"xoxb-[A-Za-z0-9-]{20,}", "xoxp-": r"xoxp-[A-Za-z0-9-]{20,}",
-    "sk_live_": r"sk_live_[A-Za-z0-9]{20,}", "aiza": r"AIza[A-Za-z0-9_-]{35}", "npm_": r"npm_[A-Za-z0-9]{36}",
+    "xapp-": r"xapp-[0-9]-[A-Z0-9]{8,}-[0-9]{8,}-[a-z0-9]{32,}", "SG.": r"SG\.[A-Za-z0-9_-]{20,24}\.[A-Za-z0-9_-]{40,46}", "sk_live_": r"sk_live_[A-Za-z0-9]{20,}", "rk_live_": r"rk_live_[A-Za-z0-9]{20,}",
+    "AIza": r"AIza[A-Za-z0-9_-]{35}", "npm_": r"npm_[A-Za-z0-9]{36}", "pypi-": r"pypi-[A-Za-z0-9_-]{80,}",
 }
-# Words that make a value a placeholder.
-EXAMPLES = r"change.?me|your.|example|placeholder|dummy|sample|redacted|insert|replace|todo|fixme|xxxx|\*\*\*|\.\.\.|<[^>]*>|enter.|my.?(?:password|secret|token)|not.?set|fake"
-
-_ARMOR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----")
-_BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
-_FORMATS = {k: re.compile(v) for k, v in FORMATS.items()}
-# behind a name: the rest of a quoted key, the sign, and a value in quotes or bare
-_SIGN = re.compile(r"""["']?\]?[ \t]*(?::=|=>|[:=])[ \t]*""")
-_QUOTED = re.compile(r"""[bfru]?(["'`])((?:(?!\1)[^\\\n]|\\.)*)\1""")
-_MORE = re.compile(r"""[ \t]*(?:\+|\.)?[ \t]*\\?(?:\r?\n[ \t]*)?[ \t]*(?:\+[ \t]*)?(["'])((?:(?!\1)[^\\\n])*)\1""")
-_BARE = re.compile(r"""[^\s"'`,;)\]}<>]+""")
-_FLAG = re.compile(r"""[ =](?:(["'])([^"'\n]+)\1|([^\s"'`<>]+))""")
-_ADDRESS = re.compile(r"://([^\s/:@\"'<>]*):([^\s/@\"'<>]+)@[A-Za-z0-9\[]")
-_USER = re.compile(r"""-u[ =]?["']?([A-Za-z0-9_.-]+):([^\s"']+)""")
-_BEARER = re.compile(r"bearer[ \t]+([A-Za-z0-9._~+/=-]{8,})", re.I)
-_BASIC = re.compile(r"basic[ \t]+([A-Za-z0-9+/]{8,}={0,2})", re.I)
-_NO = re.compile(EXAMPLES, re.I)
+# Words and signs of placeholders.
+_FILLER = re.compile(r"change.?me|your|example|placeholder|dummy|sample|redacted|insert|replace|todo|fixme|enter|my.?(?:password|secret|token)|not.?set|fake", re.I)
+_BLANKED = re.compile(r"xxxx|\*\*\*|\.\.\.|<[^>]*>", re.I)
+
+_NAME = "(?:" + "|".join(map(re.escape, NAMES)) + ")"
+_SIGN = r"""["']?\]?[ \t]*(?::=|=>|[:=])[ \t]*"""
+_BARE = r"""[^\s"'`,;)\]}<>=][^\s"'`,;)\]}<>]*"""
+
+
+# The grammars: (kind, parts, are letters of either case the same); a part is an expression and whether it is of the value.
+_GRAMMARS: list[tuple[str, list[tuple[str, bool]], bool]] = [
+    *(("token", [(x, True)], False) for x in FORMATS.values()),
+    ("armor", [(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----", False)], False),
+    ("address", [(r"://[^\s/:@\"'<>]*:", False), (r"[^\s/@\"'<>]+", True), (r"@[A-Za-z0-9\[]", False)], False),
+    ("login", [(r"-u[ =]?[\"']?[A-Za-z0-9_.-]+:", False), (r"[^\s\"']+", True)], False),
+    ("bearer", [(r"bearer[ \t]+", False), (r"[A-Za-z0-9._~+/=-]{8,}", True)], True),
+    ("basic", [(r"basic[ \t]+", False), (r"[A-Za-z0-9+/]{8,}={0,2}", True)], True),
+    ("bare", [(_NAME + _SIGN, False), (_BARE, True)], True),
+    *((kind, [(_NAME + sign, False), (rf"(?:[^{q}\\\n]|\\[^\n])*", True), (q, False)], True) for q in "\"'`" for kind, sign in (("quoted", f"{_SIGN}[bfru]?{q}"), ("flag", f"[ =]{q}"))),
+    ("flag", [(_NAME + " ", False), (r"[^\s\"'`<>]+", True)], True),
+]
+_ENTRIES = {"-----begin ", "://", "bearer ", "basic ", "bearer\t", "basic\t", "-u", *(x.lower() for x in FORMATS), *NAMES}
+_MORE = {q: re.compile(rf"[ \t]*(?:\+|\\)[ \t]*(?:\r?\n[ \t]*)?(?:\+[ \t]*)?{q}((?:[^{q}\\\n]|\\[^\n])*){q}") for q in "\"'"}
+
 # what is filled in within a value, closed or cut off; a variable, with members, a path or more variables behind it, as the whole value
 _INSERTED = re.compile(r"\$\{[^}]*(?:\}|$)|\$\([^)]*(?:\)|$)|%\([^)]*(?:\)\w?|$)|\{\{.*?(?:\}\}|$)|#\{[^}]*(?:\}|$)")
-_VARIABLE = re.compile(r"\$\$?[A-Za-z_]\w*(?:-$|(?:->|::|[.:/])\$?\w*)*")
+_VARIABLE = re.compile(r"\$\$?([A-Za-z_]\w*)(?:-$|(?:->|::|[.:/])\$?\w*)*")
+_WRITTEN = re.compile(r"(?=.*[A-Z])(?=.*[a-z]).*\d[A-Za-z]")
 # a password's hash, which nobody can log in with
 _HASH = re.compile(r"\$(?:1|2[abxy]?|5|6|7|y|apr1|argon2\w*|scrypt|pbkdf2[\w-]*)\$.+")
+_DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.I)
+_DIGESTED = re.compile(r"(?:sha\d*|md5|digest|checksum|hash|fingerprint)[_.-]?$", re.I)
 _REFERENCE = re.compile(r"^%\w+%$|^@|^&|^env[:.]|^vault[:.]|^ref[:+]|^file:|^/|^\.\.?/|^arn:|^https?:|os\.environ|getenv|process\.env", re.I)
 # Words that end with a secret's name and mean something else.
 _OTHER_WORDS = {"compass", "encompass", "bypass", "trespass", "surpass", "underpass", "overpass", "lowpass", "highpass", "bandpass", "allpass", "subpass", "renderpass", "multipass", "singlepass", "firstpass", "subtoken", "pretoken", "nexttoken"}
 _NOTHING = {"", "none", "null", "nil", "true", "false", "undefined", "password", "passwd", "pass", "pwd", "secret", "token", "user", "username", "test", "root", "admin"}
+# Words of a remark, which a phrase that is a secret does without.
+_REMARKS = set("a an the is are be must may can not no of to for in on at by with from this that it its your our my their see ask use set get has have and or if as at least than when where which who will should please here there".split())
+_KEYBOARD = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertzuiop", "azertyuiop")
+
+
+@functools.lru_cache(maxsize=1)
+def automaton() -> Automaton:
+    return Automaton([parts for _, parts, _ in _GRAMMARS], [fold for _, _, fold in _GRAMMARS])
 
 
 @functools.lru_cache(maxsize=1)
-def automaton():
+def _literals():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    entries = {"-----begin ": "armor", "://": "address", "bearer ": "bearer", "basic ": "basic", "-u ": "user"} | dict.fromkeys(FORMATS, "format") | dict.fromkeys(NAMES, "name")
-    for word, kind in entries.items():
-        a.add_word(word, (kind, word))
+    for word in _ENTRIES:
+        a.add_word(word, len(word))
     a.make_automaton()
-    return a, max(map(len, entries))
+    return a, max(map(len, _ENTRIES))
 
 
 def _lower(text: str) -> str:
@@ -80,15 +101,13 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join([c.lower() if len(c.lower()) == 1 else c for c in text])
 
 
-def hits(text: str, chunk: int = CHUNK) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, entry) of every entry in the text, by overlapping chunks, each once."""
-    a, longest = automaton()
+def hits(text: str, chunk: int = CHUNK) -> list[int]:
+    """Where grammars may begin, by overlapping chunks, each place once."""
+    a, longest = _literals()
     low = _lower(text)
-    if len(low) <= chunk:
-        return [(e + 1 - len(w), e + 1, k, w) for e, (k, w) in a.iter(low)]
     found = set()
     for at in range(0, len(low), chunk):
-        found.update((at + e + 1 - len(w), at + e + 1, k, w) for e, (k, w) in a.iter(low[at : at + chunk + longest]))
+        found.update(at + e + 1 - n for e, n in a.iter(low[at : at + chunk + longest]))
     return sorted(found)
 
 
@@ -97,64 +116,61 @@ def reference(value: str) -> bool:
     rest = _INSERTED.sub("a", value)
     if rest != value and (len(rest) < 6 or not _varied(rest)):
         return True
-    return bool(_VARIABLE.fullmatch(value) or _HASH.fullmatch(value) or _REFERENCE.search(value))
+    variable = _VARIABLE.fullmatch(value)
+    return bool(variable and not _WRITTEN.match(variable[1]) or _HASH.fullmatch(value) or _REFERENCE.search(value))
+
+
+def placeholder(value: str) -> bool:
+    """Blanked out, or words of placeholders and nothing but words and numbers around them."""
+    if _BLANKED.search(value):
+        return True
+    rest = _FILLER.sub("-", value)
+    return rest != value and not any(re.search(r"[A-Za-z]\d|\d[A-Za-z]", x) and len(x) > 5 or re.search(r"[^\w]", x) and len(x) > 5 for x in re.split(r"[-_. ]+", rest))
 
 
-def usable(value: str) -> bool:
+def usable(value: str, least: int = 6) -> bool:
     """Could the value be a secret itself?"""
-    if len(value) < 6 or value.lower() in _NOTHING or len(set(value)) < 4 or any(c.isspace() for c in value):
+    if len(value) < least or value.lower() in _NOTHING or len(set(value)) < 4:
         return False
-    if reference(value) or _NO.search(value):
-        return False
-    return True
+    return not reference(value) and not placeholder(value)
 
 
 _WORDS = re.compile(r"[a-z]+(?:[_.-][a-z]+)*|[A-Z]+(?:[_.-][A-Z]+)*|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*(?:[_.-][A-Z]?[a-z]+(?:[A-Z][a-z]+)*)*")
-
-
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _UNSPEAKABLE = re.compile(r"[^aeiouy]{5}|^[^aeiouy]{4,}$")
 
 
 def _varied(value: str) -> bool:
-    """Not just words, however they are joined; what can't be spoken is no word."""
-    return not _WORDS.fullmatch(value) or any(_UNSPEAKABLE.search(p.lower()) for p in _PART.findall(value))
+    """Not just words, however they are joined; what can't be spoken, or is a row of keys, is no word."""
+    low = value.lower()
+    return not _WORDS.fullmatch(value) or any(_UNSPEAKABLE.search(p.lower()) for p in _PART.findall(value)) or any(low[i : i + 7] in row for row in _KEYBOARD for i in range(len(low) - 6))
 
 
-def _name(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """The value's parts of an assignment whose key ends with a secret's name."""
-    before = text[start - 1] if start else " "
-    word = text[start:end]
-    if before.isalnum() and _PART.findall(text[max(0, start - 24) : end])[-1].lower() in _OTHER_WORDS:
-        return []
-    if text[max(0, start - 2) : start] == "--" or re.search(r"--[a-z-]*$", text[max(0, start - 24) : start]):
-        if (m := _FLAG.match(text, end)) and usable(v := m[2] or m[3]) and _varied(v):
-            return [m.span(2) if m[2] else m.span(3)]
-        return []
-    m = _SIGN.match(text, end)
-    if not m:
-        return []
-    if text[m.end() : m.end() + 1] == "=":
-        return []  # a comparison
-    at = m.end()
-    if q := _QUOTED.match(text, at):
-        spans, whole = [q.span(2)], q[2]
-        while more := _MORE.match(text, q.end()):
-            if "+" not in more.group() and "\\" not in more.group():
-                break
-            spans.append(more.span(2))
-            whole += more[2]
-            q = more
-        return spans if usable(whole) and _varied(whole) else []
-    if b := _BARE.match(text, at):
-        v = b.group()
-        after = text[b.end() : b.end() + 1]
-        if after == "(" or "(" in v or "[" in v or "{" in v or v.isdigit() or not any(c.isdigit() for c in v) and not re.search(r"[^A-Za-z0-9_.-]", v) and not _varied(v):
-            return []
-        if re.fullmatch(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+", v) or re.fullmatch(r"[\d.,:xX-]+", v):
-            return []  # a member, a number
-        return [b.span()] if usable(v) else []
-    return []
+def _phrase(value: str) -> bool:
+    """Three or more words that are no remark."""
+    w = value.lower().split(" ")
+    return len(w) > 2 and all(len(x) > 2 and x.isalnum() for x in w) and not _REMARKS & set(w)
+
+
+def _assigned(kind: str, name: str, before: str, value: str) -> bool:
+    """Is what a name is given a secret? name in small letters, before: what stands in front of it."""
+    password = name in PASSWORDS
+    if any(c.isspace() for c in value):
+        return kind != "bare" and password and _phrase(value) and usable(value)
+    if _DIGEST.fullmatch(value) and _DIGESTED.search(before):
+        return False
+    short = kind == "quoted" and password and re.search(r"\d", value) and re.search(r"[A-Za-z]", value)
+    if not usable(value, 5 if short else 6):
+        return False
+    if kind == "bare":
+        if "(" in value or "[" in value or "{" in _INSERTED.sub("a", value):
+            return False
+        if value.isdigit():
+            return password
+        if not any(c.isdigit() for c in value) and not re.search(r"[^A-Za-z0-9_.-]", value) and not _varied(value):
+            return False
+        return not re.fullmatch(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+", value) and not re.fullmatch(r"[\d.,:xX-]+", value)  # a member, a number
+    return _varied(value)
 
 
 def _folded(text: str) -> tuple[str, list[int] | None]:
@@ -190,38 +206,80 @@ def find(text: str | None) -> list[tuple[list[tuple[int, int]], int, str]]:
     return [([(back[a], back[b - 1] + 1) for a, b in spans if b > a], back[start], kind) for spans, start, kind in found]
 
 
+_KEY_LINE = re.compile(r"(?:[^A-Za-z0-9+/=\n\\]|\\[nrt\\])*(?:[A-Za-z0-9-]+: [^\n]*|(?:[A-Za-z0-9+/=]+(?:[^A-Za-z0-9+/=\n\\]|\\[nrt\\])*)?)(?:\n|$)")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/=\\])[A-Za-z0-9+/=]+|(?<=\\n)[A-Za-z0-9+/=]+|(?<=\\r)[A-Za-z0-9+/=]+")
+_HEADER = re.compile(r"[A-Za-z0-9-]+: [^\n\\]*")
+
+
+def _key(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The spans of a private key behind its armor: to the END line, without one as long as lines are base64."""
+    close = text.find("-----END ", end)
+    other = text.find("-----BEGIN ", end)
+    if close >= 0 and (other < 0 or close < other):
+        stop = close
+    else:
+        stop = at = end
+        while m := _KEY_LINE.match(text, at):
+            runs = [x.group() for x in _RUN.finditer(m.group())]
+            first = at == end and not runs
+            if m.end() == at or not first and not (runs and (max(map(len, runs)) >= 16 or runs[-1].endswith("=")) or _HEADER.search(m.group())):
+                break
+            stop = at = m.end()
+    headers = [m.span() for m in _HEADER.finditer(text, end, stop)]
+    spans = [m.span() for m in _RUN.finditer(text, end, stop)]
+    return [s for s in spans if not any(a <= s[0] < b for a, b in headers)]
+
+
 def _find(text: str) -> list[tuple[list[tuple[int, int]], int, str]]:
-    out = []
-    for start, end, kind, word in hits(text):
+    out, auto = [], automaton()
+    for start in hits(text):
+        got = auto.match(text, start)
+        if not got:
+            continue
+        rule, end, spans = got
+        kind = _GRAMMARS[rule][0]
+        value = "".join([text[a:b] for a, b in spans])
+        before = text[max(0, start - 24) : start]
         if kind == "armor":
-            if m := _ARMOR.match(text, start):
-                close = text.find(f"-----END {m[1]}-----", m.end())
-                body = [x.span() for x in _BODY.finditer(text, m.end(), close if close >= 0 else min(len(text), m.end() + 8192))]
-                if sum(b - a for a, b in body) >= 40:
-                    out.append((body, start, "private key"))
-        elif kind == "format":
-            before = text[start - 1] if start else " "
-            if not (before.isalnum() or before == "_") and (m := _FORMATS[word].match(text, start)) and len(set(m.group()[len(word) :])) > 4 and not _NO.search(m.group()):
-                out.append(([m.span()], start, "token"))
-        elif kind == "name":
-            if spans := _name(text, start, end):
+            body = _key(text, start, end)
+            if sum(b - a for a, b in body) >= 40:
+                out.append((body, start, "private key"))
+        elif kind == "token":
+            after = text[end : end + 1]
+            inside = before[-1:].isalnum() or before[-1:] == "_" or after.isalnum() and after.isascii()
+            if not inside and len(set(value[4:])) > 4 and not _BLANKED.search(value) and not _FILLER.search(value):
+                out.append((spans, start, "token"))
+        elif kind in ("bare", "quoted", "flag"):
+            flag = re.search(r"--[a-z-]*$", before)
+            if kind == "flag" and not flag:
+                continue
+            word = re.match(_NAME, text[start:end], re.I)[0].lower()
+            if before[-1:].isalnum() and _PART.findall(text[max(0, start - 24) : start + len(word)])[-1].lower() in _OTHER_WORDS:
+                continue
+            if kind == "quoted":
+                q = text[end - 1]
+                while q in _MORE and (more := _MORE[q].match(text, end)):
+                    spans, end, value = [*spans, more.span(1)], more.end(), value + more[1]
+            if kind == "bare" and text[end : end + 1] == "(":
+                continue
+            if spans and _assigned("flag" if flag else kind, word, before, value):
                 out.append((spans, spans[0][0], "assignment"))
         elif kind == "address":
-            if (m := _ADDRESS.match(text, start)) and m[2].lower() not in _NOTHING and not reference(m[2]) and not _NO.search(m[2]) and len(set(m[2])) > 2:
-                out.append(([m.span(2)], m.start(2), "address"))
-        elif kind == "user":
-            if (m := _USER.match(text, start)) and m[2].lower() not in _NOTHING and usable(m[2]):
-                out.append(([m.span(2)], m.start(2), "login"))
+            if value.lower() not in _NOTHING and not reference(value) and not placeholder(value) and len(set(value)) > 2:
+                out.append((spans, spans[0][0], "address"))
+        elif kind == "login":
+            if usable(value):
+                out.append((spans, spans[0][0], "login"))
         elif kind == "bearer":
-            if (m := _BEARER.match(text, start)) and usable(m[1]) and _varied(m[1]):
-                out.append(([m.span(1)], m.start(1), "header"))
-        elif kind == "basic" and (m := _BASIC.match(text, start)):
+            if usable(value) and _varied(value):
+                out.append((spans, spans[0][0], "header"))
+        elif kind == "basic":
             try:
-                user, _, word = base64.b64decode(m[1] + "=" * (-len(m[1]) % 4), validate=True).decode().partition(":")
+                user, _, word = base64.b64decode(value + "=" * (-len(value) % 4), validate=True).decode().partition(":")
             except ValueError:
                 continue
-            if user and word and word.lower() not in _NOTHING and not _NO.search(word):
-                out.append(([m.span(1)], m.start(1), "header"))
+            if user and word and word.lower() not in _NOTHING and not placeholder(word):
+                out.append((spans, spans[0][0], "header"))
     return out
 
 
@@ -253,8 +311,9 @@ def credentials(df: DataFrame, key: str, text: str) -> DataFrame:
             for i, t in enumerate(b.column(1).to_pylist()):
                 if found := find(t):
                     by_line: dict[int, str] = {}
+                    feeds = [m.start() for m in re.finditer("\n", t)]
                     for _, start, what in sorted(found, key=lambda x: x[1]):
-                        by_line.setdefault(t.count("\n", 0, start) + 1, what)
+                        by_line.setdefault(bisect.bisect_left(feeds, start) + 1, what)
                     at.append(i), lines.append(list(by_line)), kinds.append(list(by_line.values())), new.append(redacted(t, found))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(lines, pa.list_(pa.int32())), pa.array(kinds, pa.list_(pa.string())), pa.array(new, pa.string())], names=[key, "lines", "kinds", "redacted"])
 
