@@ -233,6 +233,27 @@ VERDICTS = [
 ]
 
 
+EXPRESSIONS = [
+    ("(Elm OR Oak-2.0) AND Oak-1.0", "CONFLICT"), ("(Elm)", "Elm"), ("(Elm AND Oak-1.0)", "CONFLICT"), ("((Elm OR Oak-2.0))", "Oak-2.0-or-Elm"), ("Elm OR (Oak-1.0 AND Oak-2.0)", "UNKNOWN"), ("Elm OR (Elm AND Oak-1.0)", "Elm"), ("Elm OR Oak-1.0 AND Oak-2.0", "UNKNOWN"),
+    ("(Elm AND Oak-1.0) OR (Oak-1.0 AND Oak-2.0)", "CONFLICT"), ("Tide-2.0+", "Tide-2.0-or-later"), ("Oak-1.0+", "Oak-1.0"), ("Elm WITH some-exception", "Elm"), ("(Elm WITH x) AND Oak-1.0", "CONFLICT"), ("Foo-1.0+", "UNKNOWN"), ("Elm (see the docs)", "Elm"), ("Elm AND", "Elm"),
+]
+SENTENCES = [
+    ("This software is licensed under the Foo License.", "UNKNOWN"), ("it is made available under the Elm Licence", "Elm"), ("All of it is covered by the Elm Licence.", "Elm"), ("available under Foo-1.0", "UNKNOWN"), ("Distributed under the terms of the Oak Open Terms, version 1.0.", "Oak-1.0"),
+    ("License :: OSI Approved :: Foo License", "UNKNOWN"), ('license = { text = "Elm" }', "Elm"), ("<license>\n  <name>Elm</name>\n</license>", "Elm"), ("<license>Elm</license>", "Elm"), ("License: Foo-1.0 (notices found below)", "UNKNOWN"), ("<licenses>\n <license>\n  <name>Elm Licence</name>", "Elm"),
+    ("It is no longer licensed under the Elm Licence.", None), ("We like the Elm Licence.", None), ("Unlike theirs, ours is not under the Elm Licence.", None), ("The Elm Licence is discussed under the oak.", None), ("They put it under the Elm Licence; we never did.", None),
+]
+
+
+def test_expressions_and_sentences():
+    known = licences.Licences(PATTERNS)
+    for x, verdict in EXPRESSIONS:
+        assert known.verdict("# SPDX-License-Identifier: " + x) == verdict, x
+    for x, verdict in SENTENCES:
+        assert known.verdict("first\n" + x + "\nlast") == verdict, x
+    both = wrapped(RAW["Elm"][1]) + "\n" + wrapped(RAW["Tide-2.0-only"][1])
+    assert known.verdict(both) == "CONFLICT"  # one text behind another
+
+
 def test_verdicts():
     known = licences.Licences(PATTERNS)
     for text, verdict in VERDICTS:
@@ -259,5 +280,9 @@ def test_repositories(spark):
     assert [got["file", i] for i in range(1, 12)] == ["Elm", "Elm", "Oak-1.0", "Elm", "UNKNOWN", "Elm", "Elm", "UNKNOWN", "Elm", "Oak-1.0", "CONFLICT"]
     assert [got["repo", i] for i in range(1, 6)] == ["CONFLICT", "Elm", "Elm", "CONFLICT", "UNKNOWN"]
     assert licences.verdicts(df, repos, patterns).count() == len(files) + 5
+    deep = [(1, 1, "LICENSE", "Released under the Elm Licence."), (2, 1, "a/b/COPYING", "# License: Oak-1.0"), (3, 1, "a/b/c/x.py", ""), (4, 1, "./a\\d.py", None), (5, 1, "a/b/y", "z"), (6, 2, "a/b/y", "z"), (7, 1, None, "z")]
+    deep = spark.createDataFrame(deep, "file_id long, repo_id long, file_path string, file_content string").selectExpr("*", "current_timestamp() as scanned_at")
+    near = {r.subject_id: r.verdict for r in licences.verdicts(deep, repos, patterns, top_only=False).where("subject = 'file'").collect()}
+    assert near == {1: "Elm", 2: "Oak-1.0", 3: "Oak-1.0", 4: "Elm", 5: "Oak-1.0", 6: "UNKNOWN", 7: "UNKNOWN"}
     assert licences.verdicts(df.where("false"), repos, patterns).count() == 5
     assert {r.verdict for r in licences.verdicts(df, repos, patterns.where("false")).collect()} <= {"UNKNOWN", "CONFLICT"}
