@@ -31,6 +31,11 @@ LETTERS = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
     "ɡ": "g", "ɑ": "a", "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "զ": "q",
 }
+# More of them for comparing alone, where a word of its own script can't be spoiled: Greek, dotless i, Cherokee, small capitals.
+MORE = {
+    "α": "a", "ι": "i", "ρ": "p", "υ": "u", "ı": "i", "ᴄ": "c", "ᴏ": "o", "ꜱ": "s", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮢ": "R", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+}
 # Characters that are not seen (zero-width, joiners, soft hyphen, direction marks, byte order mark).
 UNSEEN = "­͏؜᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
 # Hyphens drawn like the ordinary one.
@@ -41,8 +46,11 @@ KINDS = ("<wide>", "<narrow>", "<noBreak>", "<font>")
 
 @functools.lru_cache(maxsize=1)
 def folds() -> dict[str, str]:
-    """What becomes of a character by itself, apart from look-alike letters; from the character database."""
-    out = dict.fromkeys(UNSEEN, "") | dict.fromkeys(HYPHENS, "-")
+    """What becomes of a character by itself, apart from look-alike letters; from the character database.
+
+    Variation selectors and the fillers of Hangul are not seen either.
+    """
+    out = dict.fromkeys(UNSEEN + "".join(map(chr, [*range(0xFE00, 0xFE10), 0x115F, 0x1160, 0x3164, 0xFFA0])), "") | dict.fromkeys(HYPHENS, "-")
     for cp in range(0x80, 0x20000):
         c = chr(cp)
         if c in out:
@@ -55,11 +63,12 @@ def folds() -> dict[str, str]:
     return out
 
 
-@functools.lru_cache(maxsize=2)
-def _unstable(letters: bool) -> regex.Pattern:
-    own = "".join(folds()) + ("".join(LETTERS) if letters else "")
+@functools.lru_cache(maxsize=4)
+def _unstable(letters: str) -> regex.Pattern:
+    """Segments that may change: characters that fail the quick check or have a fold, and marks whose order may not be the canonical one."""
+    own = "".join(folds()) + letters
     u = rf"[\p{{NFC_Quick_Check=No}}\p{{NFC_Quick_Check=Maybe}}{regex.escape(own, special_only=True)}]"
-    return regex.compile(rf"(?:\P{{M}}\p{{M}}*)?(?:{u}\p{{M}}*)+")
+    return regex.compile(rf"(?:\P{{M}}?\p{{M}}*)(?:{u}\p{{M}}*)+|\P{{M}}?\p{{M}}{{2,}}")
 
 
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}_]+")
@@ -76,9 +85,9 @@ def _word(m: regex.Match) -> str:
     return "".join(LETTERS.get(c, c) for c in w)
 
 
-def _spliced(line: str, letters: bool) -> str:
-    f = all_folds() if letters else folds()
-    return _unstable(letters).sub(lambda m: unicodedata.normalize("NFC", "".join([f.get(c, c) for c in m.group()])), line)
+def _spliced(line: str, letters: bool, more: bool = False) -> str:
+    f = all_folds(more) if letters else folds()
+    return _unstable("".join(LETTERS | (MORE if more else {})) if letters else "").sub(lambda m: unicodedata.normalize("NFC", "".join([f.get(c, c) for c in m.group()])), line)
 
 
 def _by_line(text: str | None, form) -> str | None:
@@ -98,27 +107,23 @@ def canonical(text: str | None) -> str | None:
     return _by_line(text, _canonical)
 
 
-@functools.lru_cache(maxsize=1)
-def all_folds() -> dict[str, str]:
+@functools.lru_cache(maxsize=2)
+def all_folds(more: bool = False) -> dict[str, str]:
     """Folds and look-alike letters."""
-    return folds() | LETTERS
+    return folds() | LETTERS | (MORE if more else {})
 
 
-def skeleton(text: str | None) -> str | None:
+def skeleton(text: str | None, more: bool = True) -> str | None:
     """The form for comparing: equal for texts that look the same."""
-    return _by_line(text, lambda line: _spliced(line, True))
+    return _by_line(text, lambda line: _spliced(line, True, more))
 
 
 def _digest(text: str) -> bytes:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def same_looking(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: rows whose texts look the same and yet differ. Null and empty texts are left out, repeated rows count once.
-
-    Only digests are shuffled. Groups in which all texts are the same string are dropped before rows meet; the others'
-    pairs are the result itself.
-    """
+def _looks(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, looks, own): digests of the form for comparing and of the string, of rows of which another looks the same and is another string."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,9 +134,29 @@ def same_looking(df: DataFrame, key: str, text: str) -> DataFrame:
 
     rows = written(spread(df.select(key, text).where(f"{key} is not null and {text} <> ''")).mapInArrow(run, f"id {kind}, looks binary, own binary").distinct(), "looks")
     several = rows.groupBy("looks").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least <> most").select("looks")
-    rows = rows.join(several, "looks")
-    a, b = rows.select("looks", F.col("id").alias("id_a"), F.col("own").alias("own_a")), rows.select("looks", F.col("id").alias("id_b"), F.col("own").alias("own_b"))
-    return a.join(b, "looks").where("id_a < id_b and own_a <> own_b").select("id_a", "id_b")
+    return rows.join(several, "looks").select("id", "looks", "own")
+
+
+def same_looking(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: rows whose texts look the same and yet differ. Null and empty texts are left out, repeated rows count once.
+
+    Only digests are shuffled. Different strings are paired first, and then each side of a pair is expanded to its rows: so copies of one
+    string never meet, and what is examined is in proportion to the result.
+    """
+    rows = _looks(df, key, text)
+    strings = rows.select("looks", "own").distinct()
+    pairs = strings.withColumnRenamed("own", "a").join(strings.withColumnRenamed("own", "b"), "looks").where("a < b").select("a", "b")
+    one = pairs.join(rows.select(F.col("own").alias("a"), F.col("id").alias("x")), "a")
+    both = one.join(rows.select(F.col("own").alias("b"), F.col("id").alias("y")), "b").where("x <> y")
+    return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+
+def look_groups(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, class_id, string_id): a row for each row whose text looks like another string; the least ids with its looks and with its string."""
+    rows = _looks(df, key, text)
+    strings = rows.groupBy("looks", "own").agg(F.min("id").alias("string_id"))
+    classes = strings.groupBy("looks").agg(F.min("string_id").alias("class_id"))
+    return rows.join(strings, ["looks", "own"]).join(classes, "looks").select("id", "class_id", "string_id")
 
 
 def with_canonical(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -33,6 +33,8 @@ from corpusweave.runtime import spread, written
 SOURCES = 1024
 #: log2 of the model's counters for pairs of characters.
 PAIRS = 18
+#: Counters of the model in a range that is summed up by itself.
+RANGE = 1 << 14
 #: Rounds of expectation and maximization.
 ROUNDS = 3
 #: Share of a chain to begin with, all but the null chain together, and how many lines of the whole corpus's shares a source is worth.
@@ -120,7 +122,7 @@ def _ascii(text: str) -> str:
 def plain(line: str) -> str:
     """The line with words that merely hold look-alike or invisible characters in ASCII: they are no evidence."""
     words = line.split(" ")
-    return " ".join([w if w.isascii() or not (s := skeleton(w)).isascii() else s for w in words])
+    return " ".join([w if w.isascii() or not (s := skeleton(w, more=False)).isascii() else s for w in words])
 
 
 def candidates(line: str) -> list[tuple[int, str, str]]:
@@ -250,8 +252,11 @@ def _expect(state):
                 for text, w, c in zip(texts, weights, chains):
                     if w > 1e-4 and c != 1:
                         new.add(text, w)
-        # by parts, so that the sum of many tasks is spread too
-        yield pa.RecordBatch.from_arrays([pa.array([0, 1, 2], pa.int32()), pa.array([_blob(new.pairs), _blob(new.chars), _blob(counts)], pa.binary())], names=["part", "sums"])
+        # by ranges, so that the sum of many tasks is spread over as many reducers
+        whole = np.concatenate([new.pairs, new.chars, counts.ravel()])
+        ranges = [(k, whole[k * RANGE : (k + 1) * RANGE]) for k in range(-(-len(whole) // RANGE))]
+        ranges = [(k, _blob(x)) for k, x in ranges if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in ranges], pa.int32()), pa.array([x for _, x in ranges], pa.binary())], names=["part", "sums"])
 
     return run
 
@@ -291,9 +296,13 @@ def fit(texts: DataFrame, source: str, text: str, rounds: int = ROUNDS) -> tuple
     for k in range(rounds + 1):
         shared = sc.broadcast(state) if state else None
         parts = spread(lines).mapInArrow(_expect(shared), "part int, sums binary").repartition("part").mapInArrow(_add, "part int, sums binary")
-        got = {r.part: bytes(r.sums) for r in parts.collect()}  # three rows
-        empty = [_blob(np.zeros(x)) for x in (1 << PAIRS, 1 << 16, SOURCES * len(CHAINS))]
-        state = (*(got.get(i, empty[i]) for i in range(3)), k == 0)
+        sizes = (1 << PAIRS, 1 << 16, SOURCES * len(CHAINS))
+        whole = np.zeros(sum(sizes))
+        for part, sums in parts.collect():  # a row for each RANGE of the model
+            got = _array(bytes(sums))
+            whole[part * RANGE : part * RANGE + len(got)] = got
+        ends = np.cumsum(sizes)
+        state = (*(_blob(x) for x in np.split(whole, ends[:-1])), k == 0)
     return state
 
 

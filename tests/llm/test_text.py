@@ -12,13 +12,14 @@ from corpusweave.llm import licences, lookalike, mojibake, secrets
 def test_skeleton_is_the_fold_of_the_whole_text():
     random.seed(1)
     folds = {**lookalike.folds(), **lookalike.LETTERS}
-    pool = "aeobо́̈ ﬁｅ０​\xa0éñ각각̨ọ́ĀΚК中が𝐚\n²½…"
+    folds |= lookalike.MORE
+    pool = "\u0651\u064eبα\ufe0faeobо́̈ ﬁｅ０​\xa0éñ각각̨ọ́ĀΚК中が𝐚\n²½…"
     for _ in range(5000):
         t = "".join(random.choice(pool) for _ in range(random.randint(1, 14)))
         assert lookalike.skeleton(t) == "\n".join(unicodedata.normalize("NFC", "".join(folds.get(c, c) for c in x)) for x in t.split("\n"))
 
 
-SAME = [("cafe", "cafe"), ("café", "café"), ("ordered", "оrdеred"), ("a b", "a b"), ("a b", "a　b"), ("soft", "so­ft​"), ("x-y", "x‑y"), ("full0", "ｆｕｌｌ０"), ("flush", "ﬂush"), ("Tau", "Τau")]
+SAME = [("cafe", "cafe"), ("café", "café"), ("ordered", "оrdеred"), ("a b", "a b"), ("a b", "a　b"), ("soft", "so­ft​"), ("x-y", "x‑y"), ("full0", "ｆｕｌｌ０"), ("flush", "ﬂush"), ("Tau", "Τau"), ("\u0628\u0651\u064e", "\u0628\u064e\u0651"), ("a\u0332\u0305", "a\u0305\u0332"), ("paid", "pαıd"), ("CAT", "ᏟᎪᎢ"), ("ab", "a\ufe0fb"), ("ab", "a\u3164b")]
 OTHER = [("a", "A"), ("a b", "a  b"), ("a\nb", "a\r\nb"), ("x2", "x²"), ("1/2", "½"), ("cafe", "café"), ("l", "1"), ("-", "–"), ("к", "k")]
 
 
@@ -31,6 +32,7 @@ def test_what_looks_the_same():
 
 def test_canonical():
     assert lookalike.canonical("gаrvеl ветка κόσμος ｘ") == "garvel ветка κόσμος x"
+    assert lookalike.canonical("kadın άρα") == "kadın άρα"
     assert lookalike.canonical(None) is None and lookalike.canonical("") == "" and lookalike.canonical("plain") == "plain"
     x = lookalike.canonical("so­ft é ﬂ")
     assert lookalike.canonical(x) == x
@@ -43,6 +45,15 @@ def test_same_looking(spark):
     assert lookalike.same_looking(df, "file_id", "file_content").count() == 2
     assert lookalike.same_looking(df.where("false"), "file_id", "file_content").count() == 0
     assert lookalike.with_canonical(df, ["file_content"]).count() == len(rows)
+    assert {tuple(r) for r in lookalike.look_groups(df, "file_id", "file_content").collect()} == {(1, 1, 1), (2, 1, 2), (3, 1, 1)}
+    assert lookalike.look_groups(df.where("false"), "file_id", "file_content").count() == 0
+
+
+def test_many_copies_and_one_variant(spark):
+    df = spark.range(200_000).selectExpr("id as file_id", "if(id = 7, 'cоpy', 'copy') as file_content")
+    got = lookalike.same_looking(df, "file_id", "file_content")
+    assert got.count() == 199_999 and got.where("id_a <> 7 and id_b <> 7").count() == 0
+    assert lookalike.look_groups(df, "file_id", "file_content").selectExpr("count(*)", "max(class_id)", "max(string_id)").first() == (200_000, 0, 7)
 
 
 # ---- garbled text
