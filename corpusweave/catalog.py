@@ -229,6 +229,12 @@ def remove_matched(spark: SparkSession, d: str) -> DataFrame:
     return table_ops.remove(table(spark, d, "files").select("file_id", "file_path"), table(spark, d, "match_results"), ["file_id"])
 
 
+@query("SELECT f.* EXCLUDE (license_names, file_content, file_content_normalized) FROM files f WHERE file_path IN (SELECT file_path FROM snapshot_primary)")
+def file_lookup(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "files").drop("license_names", "file_content", "file_content_normalized")
+    return table_ops.lookup(rows, table(spark, d, "snapshot_primary"), ["file_path"])
+
+
 _IGNORED = r"contains(replace(file_path, '\', '/'), 'src/test')"
 
 
@@ -311,9 +317,9 @@ def full_license_matches(spark: SparkSession, d: str) -> DataFrame:
     return m.select("path", F.array_join("license_names", ",").alias("names"), "license_match_strength", "has_full_license")
 
 
-def _sql_terms() -> str:
+def _sql_terms(table: dict[str, list[str]] = terms.TERMS) -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = ", ".join(f"({quoted(c)}, {i}, {j}, {quoted(t)})" for i, (c, ts) in enumerate(terms.TERMS.items()) for j, t in enumerate(ts))
+    rows = ", ".join(f"({quoted(c)}, {i}, {j}, {quoted(t)})" for i, (c, ts) in enumerate(table.items()) for j, t in enumerate(ts))
     norm = f"trim(regexp_replace(lower({_STRIP.format(c='term')}), '\\s+', ' ', 'g'))"
     return f"(SELECT category, min(cat_ord) cat_ord, min(term_ord) term_ord, {norm} norm FROM (VALUES {rows}) v(category, cat_ord, term_ord, term) GROUP BY category, norm)"
 
@@ -323,6 +329,11 @@ def keyword_search(spark: SparkSession, d: str) -> DataFrame:
     return search.keywords(_texts(spark, d), terms.frame(spark))
 
 
+@query(f"""SELECT file_id AS path, category, norm FROM files JOIN {_sql_terms(terms.PHRASES)} t ON contains(' ' || file_content_normalized || ' ', ' ' || norm || ' ')""")
+def phrase_search(spark: SparkSession, d: str) -> DataFrame:
+    return search.keywords(_texts(spark, d), terms.frame(spark, terms.PHRASES)).select("path", "category", "norm")
+
+
 @query(f"SELECT category, cat_ord, term_ord, norm FROM {_sql_terms()} t WHERE norm <> ''")
 def distinct_terms(spark: SparkSession, d: str) -> DataFrame:
     return search.distinct_terms(terms.frame(spark))
@@ -424,6 +435,11 @@ def resolve_in_order(spark: SparkSession, d: str) -> DataFrame:
     return search.resolve_in_order(_matches(spark, d))
 
 
+@query("SELECT path, version, count(*) AS matches FROM (SELECT file_id AS path, unnest(list_distinct(found_versions)) AS version FROM (SELECT DISTINCT ON (match_id) * FROM match_results)) GROUP BY ALL")
+def found_version_groups(spark: SparkSession, d: str) -> DataFrame:
+    return search.version_groups(_matches(spark, d))
+
+
 # ---- reports
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusweave.functions import text as T
+
 IGNORED = ("src/test",)
 
 
@@ -42,6 +44,17 @@ def remove(files: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     return files.join(keys.select(*on).distinct(), list(on), "left_anti")
 
 
+def lookup(files: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The rows whose key is among `keys`; null keys find nothing."""
+    return files.join(keys.select(*on).distinct(), list(on), "left_semi")
+
+
+def hashed(files: DataFrame, content: str = "content", column: str = "file_hash", algorithm: str = "sha256") -> DataFrame:
+    """Hashes for the rows that have none (null or empty); others keep theirs, and their content isn't looked at."""
+    missing = F.coalesce(F.col(column), F.lit("")) == ""
+    return files.withColumn(column, F.when(missing, T.digest(F.when(missing, F.col(content)), algorithm)).otherwise(F.col(column)))
+
+
 def new_or_changed(old: DataFrame, new: DataFrame, column: str = "file_hash") -> DataFrame:
     """Rows of `new` whose hash `old` lacks; rows without a hash (null or empty) always, once each."""
     known = old.where(F.col(column) != "").select(F.lower(column).alias("_hash_to_compare")).distinct()

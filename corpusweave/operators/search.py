@@ -291,6 +291,11 @@ def resolve(matches: DataFrame, key: str = "path", order: str = "seq") -> DataFr
     )
 
 
+def version_groups(matches: DataFrame, key: str = "path") -> DataFrame:
+    """(key, version, matches): a key's matches by the versions they found; a match counts once for each."""
+    return matches.select(key, F.explode(F.array_distinct("found_versions")).alias("version")).groupBy(key, "version").agg(F.count("*").alias("matches"))
+
+
 def resolve_in_order(matches: DataFrame, key: str = "path", order: str = "seq") -> DataFrame:
     """(key, license_name, match_percent): the older rule, one fold over a key's matches in order.
 

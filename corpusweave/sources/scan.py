@@ -232,3 +232,9 @@ def licence_texts(spark: SparkSession, path: str) -> DataFrame:
         F.col("licenseId").alias("license_id"), F.concat(F.regexp_replace("licenseId", r"[/\\]", "_"), F.lit(".txt")).alias("file_name"),
         T.normalize_for_compare(F.col("licenseText")).alias("license_text"), F.coalesce(blank("standardLicenseHeader"), blank("standardLicenseHeaderTemplate")).alias("header"),
     )
+
+
+def download_counts(texts: DataFrame) -> DataFrame:
+    """One row (saved, with_header, without_text) of downloaded licences, as licence_texts gives them."""
+    empty = F.coalesce("license_text", F.lit("")) == ""
+    return texts.agg(F.count_if(~empty).alias("saved"), F.count_if(F.col("header").isNotNull()).alias("with_header"), F.count_if(empty).alias("without_text"))

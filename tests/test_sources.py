@@ -136,6 +136,17 @@ def test_scopes(spark, tmp_path):
     assert runtime.spread(spark.read.parquet(str(tmp_path / "t")).where("id > 3").limit(5)).rdd.getNumPartitions() <= 4
 
 
+def test_command_line(spark, tree, capsys):
+    from corpusweave.__main__ import main
+
+    arguments = [str(tree / "src"), "--output", str(tree / "o"), "--headers", str(tree / "headers"), "--texts", str(tree / "full")]
+    assert main(arguments) == 0 and "files=5" in capsys.readouterr().out
+    assert main([*arguments[:1], "--output", str(tree / "p"), "--previous", str(tree / "o/snapshot")]) == 0 and "changed=0 removed=0" in capsys.readouterr().out
+    assert spark.read.csv(str(tree / "o/report.csv"), header=True, escape='"').count() == 5
+    with pytest.raises(SystemExit):
+        main([])
+
+
 def test_properties_and_lists(spark, tmp_path):
     p = tmp_path / "p.properties"
     p.write_text("# no\n; no\n\na=1\nb: x:y\nc=d:e\na=2\nIGNORE_DIRS=src/test, src\\\\test\nflag=Yes\n")
@@ -147,6 +158,7 @@ def test_properties_and_lists(spark, tmp_path):
     (tmp_path / "d.json").write_text(json.dumps({"licenseId": "A/B", "licenseText": "T,  x", "standardLicenseHeader": "", "standardLicenseHeaderTemplate": "H"}))
     r = scan.licence_texts(spark, str(tmp_path / "d.json")).collect()[0]
     assert (r.file_name, r.license_text, r.header) == ("A_B.txt", "t, x", "H")
+    assert scan.download_counts(scan.licence_texts(spark, str(tmp_path / "d.json"))).first() == (1, 1, 0)
     assert terms.frame(spark).where("norm = 'gplv2'").count() == 2
 
 

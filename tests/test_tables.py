@@ -92,3 +92,10 @@ def test_table_maintenance(spark):
     c = files.scan_counts(paths).collect()[0]
     assert (c.total_files, c.released_files) == (4, 1)
     assert files.scan_counts(paths.where("false")).collect()[0].total_files == 0
+
+
+def test_hashes_only_where_there_are_none(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, "a", ""), (3, "a", "KEPT"), (4, None, None), (5, "", None)], "id int, content string, file_hash string")
+    got = {r.id: r.file_hash for r in files.hashed(df).collect()}
+    assert got[1] == got[2] and got[3] == "KEPT" and got[4] is None and got[5].startswith("e3b0c442")
+    assert {r.id for r in files.lookup(df, spark.createDataFrame([("a",), (None,)], "content string"), ["content"]).collect()} == {1, 2, 3}
