@@ -268,6 +268,15 @@ def folder_digest_excluding(spark: SparkSession, d: str) -> DataFrame:
     return table_ops.folder_digests(table_ops.exclude(table(spark, d, "files"), "file_path", ["docs", "src/test"]), "repo_id", "file_path", "file_content")
 
 
+_PART = "sum(('0x' || substr(one, {at}, 15))::HUGEINT)::VARCHAR"
+
+
+@query(f"""SELECT folder, count(*) AS files, sha256(concat_ws('|', count(*)::VARCHAR, {", ".join(_PART.format(at=1 + 15 * k) for k in range(4))})) AS fingerprint
+FROM (SELECT repo_id AS folder, sha256(concat(file_path, chr(0), sha256(coalesce(file_content, '')))) AS one FROM files WHERE repo_id IS NOT NULL AND file_path IS NOT NULL) GROUP BY 1""")
+def folder_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return table_ops.folder_fingerprints(table(spark, d, "files"), "repo_id", "file_path", "file_content")
+
+
 # ---- archives: every path as it is and with the endings of archives
 
 _ENDINGS = ["", ".tar.gz", ".TGZ", ".tar.xz", ".zip", ".jar", ".gz", ".txt.gz", ".bz2", ".lzma", ".war", "/sha256/0123456789abcdef0123456789ABCDEF"]
@@ -292,6 +301,30 @@ def archive_root(spark: SparkSession, d: str) -> DataFrame:
     return _paths(spark, d).withColumn("root", archives.without_suffix(F.col("path")))
 
 
+# ---- downloaded licence lists, made of the patterns
+
+
+@query("SELECT source_path AS license_id, license_title AS name, 'https://licences.test/' || pattern_id AS details_url FROM patterns WHERE source_path <> '' AND pattern_kind = 'full'")
+def licence_list(spark: SparkSession, d: str) -> DataFrame:
+    """A list as one JSON document, where headers are entries that are deprecated."""
+    entry = F.struct(F.col("source_path").alias("licenseId"), F.col("license_title").alias("name"), F.concat(F.lit("https://licences.test/"), F.col("pattern_id").cast("string")).alias("detailsUrl"), (F.col("pattern_kind") != "full").alias("isDeprecatedLicenseId"))
+    root = scratch(spark, "list")
+    table(spark, d, "patterns").agg(F.to_json(F.struct(F.collect_list(entry).alias("licenses"))).alias("value")).write.text(root)  # a fixed collection
+    return scan.licence_list(spark, root)
+
+
+@query("""SELECT license_name || '/' || pattern_id AS license_id, license_name || '_' || pattern_id || '.txt' AS file_name, trim(regexp_replace(lower(raw_text), '\\s+', ' ', 'g')) AS license_text,
+CASE WHEN pattern_kind = 'header' THEN raw_text ELSE source_path END AS header FROM patterns""")
+def licence_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Details as a JSON document each; those without a header have its template."""
+    name = F.concat("license_name", F.lit("/"), F.col("pattern_id").cast("string"))
+    header = F.when(F.col("pattern_kind") == "header", F.col("raw_text")).otherwise("")
+    detail = F.to_json(F.struct(name.alias("licenseId"), F.col("raw_text").alias("licenseText"), header.alias("standardLicenseHeader"), F.col("source_path").alias("standardLicenseHeaderTemplate")))
+    root = scratch(spark, "details")
+    scan.write_tree(table(spark, d, "patterns").select(F.concat(F.col("pattern_id").cast("string"), F.lit(".json")).alias("path"), F.encode(detail, "UTF-8").alias("content")), root)
+    return scan.licence_texts(spark, root)
+
+
 # ---- searches
 
 

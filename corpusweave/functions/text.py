@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import unicodedata
@@ -64,10 +65,34 @@ def _compared(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else _fold(x))
 
 
+@functools.lru_cache(maxsize=1)
+def _plain_class() -> str:
+    """Characters, as ranges, on which compatibility forms, marks and digits have no say and whose case is folded by lower(); sharp s too.
+
+    From the character database, for the blocks of Latin, Greek, Cyrillic, kana, ideographs and general punctuation.
+    """
+
+    def plain(c: str) -> bool:
+        low = c.casefold()
+        same = unicodedata.normalize("NFKC", c) == c and unicodedata.normalize("NFKC", low) == low and unicodedata.category(c)[0] not in "MZ"
+        return c == "ß" or same and len(low) == 1 and low == c.lower() and not c.isdigit() and not c.isspace() and c not in "Σς"
+
+    out, first = "\\x00-\\x7F", None
+    for lo, hi in ((0xA1, 0x52F), (0x2010, 0x205E), (0x3041, 0x30FF), (0x4E00, 0x9FFF)):
+        for c in range(lo, hi + 2):
+            good = c <= hi and plain(chr(c))
+            if good and first is None:
+                first = c
+            elif not good and first is not None:
+                out += f"\\u{first:04x}-\\u{c - 1:04x}"
+                first = None
+    return out
+
+
 def _guarded(text: Column, plain: Column, udf) -> Column:
-    """`plain` for ASCII rows; only the others' text goes to Python."""
-    beyond = text.rlike("[^\\x00-\\x7F]")
-    return F.coalesce(F.when(beyond, udf(F.when(beyond, text))), plain, F.lit(""))
+    """`plain` for rows of plain characters; only the others' text goes to Python."""
+    beyond = text.rlike(f"[^{_plain_class()}]")
+    return F.coalesce(F.when(beyond, udf(F.when(beyond, text))), F.replace(plain, F.lit("ß"), F.lit("ss")), F.lit(""))
 
 
 def normalize(text: Column) -> Column:

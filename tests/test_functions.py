@@ -45,6 +45,10 @@ def test_normalize_matches_a_plain_model(spark, small):
 
     rows = spark.read.parquet(f"{small}/documents.parquet").select("text", T.normalize(F.col("text"))).collect()
     assert all(model(a) == b for a, b in rows) and len(rows) >= 100
+    every = [chr(c) for c in [*range(1, 0x530), *range(0x1E80, 0x2070), *range(0x3000, 0x3100), *range(0x4E00, 0xA000, 97)]]
+    texts = [x for i, c in enumerate(every) for x in (f"A{c}B. {c}1.{c}2", "".join(every[i : i + 9]))]
+    got = column(spark, texts, T.normalize)
+    assert [t for t, g in zip(texts, got) if g != model(t)] == []
 
 
 def test_compare_keeps_punctuation(spark):
