@@ -211,12 +211,11 @@ _RUN = re.compile(r"(?<![A-Za-z0-9+/=\\])[A-Za-z0-9+/=]+|(?<=\\n)[A-Za-z0-9+/=]+
 _HEADER = re.compile(r"[A-Za-z0-9-]+: [^\n\\]*")
 
 
-def _key(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """The spans of a private key behind its armor: to the END line, without one as long as lines are base64."""
-    close = text.find("-----END ", end)
-    other = text.find("-----BEGIN ", end)
-    if close >= 0 and (other < 0 or close < other):
-        stop = close
+def _key(text: str, end: int, borders: list[int]) -> list[tuple[int, int]]:
+    """The spans of a private key behind its armor: to the END line, without one as long as lines are base64. borders: all BEGIN and END."""
+    k = bisect.bisect_left(borders, end)
+    if k < len(borders) and text.startswith("-----END ", borders[k]):
+        stop = borders[k]
     else:
         stop = at = end
         while m := _KEY_LINE.match(text, at):
@@ -231,7 +230,7 @@ def _key(text: str, start: int, end: int) -> list[tuple[int, int]]:
 
 
 def _find(text: str) -> list[tuple[list[tuple[int, int]], int, str]]:
-    out, auto = [], automaton()
+    out, auto, borders = [], automaton(), None
     for start in hits(text):
         got = auto.match(text, start)
         if not got:
@@ -241,7 +240,8 @@ def _find(text: str) -> list[tuple[list[tuple[int, int]], int, str]]:
         value = "".join([text[a:b] for a, b in spans])
         before = text[max(0, start - 24) : start]
         if kind == "armor":
-            body = _key(text, start, end)
+            borders = [m.start() for m in re.finditer("-----(?:BEGIN|END) ", text)] if borders is None else borders
+            body = _key(text, end, borders)
             if sum(b - a for a, b in body) >= 40:
                 out.append((body, start, "private key"))
         elif kind == "token":
