@@ -4,7 +4,7 @@ Every key of either side gets an ordinal (bucket, position): the bucket by hash,
 keys of the bucket. A side's presence in a bucket is a bitmap over the positions, kept as (word, 64 bits) rows, of
 which empty words are absent. AND-NOT of the two bitmaps yields the rows missing on either side; their intersection
 drives the comparison, ordinal by ordinal, of the compared columns, which both sides hold in the same (bucket, position)
-order. Buckets are as many as the input needs, so no task ever holds more than one bucket's worth of keys.
+order. There are 64 buckets for each shuffle partition, which the session sizes to its input; a task sorts one bucket's keys at a time, with spill.
 """
 
 from __future__ import annotations
