@@ -53,6 +53,8 @@ LOWEST = 90
 MOST = 48
 #: Ratio of the size classes of fine signatures, and tokens for each class by hash.
 STEP, WIDTH = 1.15, 16
+#: The side of a text in signatures that compare every text with every other.
+BOTH = 2
 #: Texts of a block where large groups are compared at last.
 BLOCK = 512
 
@@ -170,11 +172,15 @@ def signatures(h: np.ndarray, logs: np.ndarray, rare: int, t: Fraction) -> tuple
     return np.unique(np.concatenate([single, *out])), True
 
 
-def fine_signatures(h: np.ndarray, logs: np.ndarray, t: Fraction) -> np.ndarray:
-    """Signatures by the size classes of both texts of a pair: pairs of tokens of one class by hash, from the shortest prefixes."""
+def fine_signatures(h: np.ndarray, logs: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, sides) by the size classes of both texts of a pair: pairs of tokens of one class by hash, from the shortest prefixes.
+
+    A signature is for one pair of size classes; the side says which of the two the text is of (0 the lower, 1 the upper, BOTH if they are
+    the same), as only texts of unlike sides are compared by it.
+    """
     n = len(h)
     if not n:
-        return h
+        return h, np.empty(0, np.int32)
     c = logs[h >> np.uint64(64 - BITS)]
     order = np.lexsort((h, c))
     h, c = h[order], c[order]
@@ -188,10 +194,11 @@ def fine_signatures(h: np.ndarray, logs: np.ndarray, t: Fraction) -> np.ndarray:
         lower = math.ceil(STEP ** min(mine, other) - 1e-6)
         o = min(n, max(math.ceil(share * (n + least)), 1))
         kinds = max(1, lower // WIDTH)
+        side = BOTH if mine == other else int(mine > other)
         salt = mixed(np.array([min(mine, other) * 4096 + max(mine, other) + 1], np.uint64) * M3)[0]
         if kinds + 1 > math.ceil(2 * share * lower):  # so small that one shared token may be all there is
             f = h[: n - o + 1]
-            out.append(mixed(f * M1 + salt))
+            out.append((mixed(f * M1 + salt), side))
             continue
         k = min(n, n - o + kinds + 1)
         f = np.sort(h[:k][c[:k] > 1])  # a counter of 1: no other of these texts has it
@@ -202,25 +209,33 @@ def fine_signatures(h: np.ndarray, logs: np.ndarray, t: Fraction) -> np.ndarray:
             same = kind[step:] == kind[:-step]
             if not same.any():
                 break
-            out.append(mixed(f[:-step][same] * M1 + mixed(f[step:][same] + salt)))
-    return np.unique(np.concatenate(out)) if out else h[:0]
+            out.append((mixed(f[:-step][same] * M1 + mixed(f[step:][same] + salt)), side))
+    if not out:
+        return h[:0], np.empty(0, np.int32)
+    found, at = np.unique(np.concatenate([x for x, _ in out]), return_index=True)
+    return found, np.repeat([x for _, x in out], [len(x) for x, _ in out]).astype(np.int32)[at]
 
 
 def _postings(logs, rare: int, t: Fraction, fine: bool):
-    """(sig, doc, size): of each text its signatures; the lowest bit of size says that its prefix reaches into the frequent tokens."""
+    """(sig, doc, size, side): of each text its signatures; the lowest bit of size says that its prefix reaches into the frequent tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(zlib.decompress(logs.value), np.uint8)
         for b in batches:
-            sigs, ids, sizes = [], [], []
+            sigs, ids, sizes, sides = [], [], [], []
             for kind, doc, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 h = unpacked(tokens)
-                s, frequent = (fine_signatures(h, table, t), True) if fine else signatures(h, table, rare, t)
+                if fine:
+                    (s, side), frequent = fine_signatures(h, table, t), True
+                else:
+                    s, frequent = signatures(h, table, rare, t)
+                    side = np.full(len(s), BOTH, np.int32)
+                sides.append(side)
                 sigs.append(s ^ np.uint64(hash_kind(kind)))
                 ids.append(np.full(len(s), doc, np.int64))
                 sizes.append(np.full(len(s), 2 * len(h) + frequent, np.int32))
             if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], names=["sig", "doc", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(sides))], names=["sig", "doc", "size", "side"])
 
     return run
 
@@ -235,11 +250,11 @@ def hash_kind(kind: str) -> int:
 def _pairs(most: int, t: Fraction):
     """Over postings sorted by signature: all pairs of groups of up to `most`; of larger ones the star around the first.
 
-    A star's rows are marked `over`; they hold the first text (a) with every text (b) of the group, itself and those of no fitting size too.
+    A star's rows are marked `over`; they hold the first text (a) with every text (b) of the group, itself and those of no fitting size or side too.
     """
     ratio = float(t) * (1 - 1e-9)
 
-    def emit(sig, doc, size, lo, hi):
+    def emit(sig, doc, size, side, lo, hi):
         """All pairs of the groups [lo, hi), which all are small."""
         length = hi - lo
         for n in np.unique(length):
@@ -249,53 +264,54 @@ def _pairs(most: int, t: Fraction):
             i, j = np.triu_indices(n, 1)
             a, b = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
             for s in range(0, len(a), 1_000_000):
-                yield from pairs(sig, doc, size, a[s : s + 1_000_000], b[s : s + 1_000_000])
+                yield from pairs(sig, doc, size, side, a[s : s + 1_000_000], b[s : s + 1_000_000])
 
-    def rows(sig, doc, size, a, b, over):
+    def rows(sig, doc, size, side, a, b, over):
         return pa.RecordBatch.from_arrays(
-            [pa.array(doc[a]), pa.array(doc[b]), pa.array(size[a]), pa.array(size[b]), pa.array(sig[a] if over else np.zeros(len(a), np.int64), mask=np.full(len(a), not over))], names=["a", "b", "size_a", "size_b", "over"]
+            [pa.array(doc[a]), pa.array(doc[b]), pa.array(size[a]), pa.array(size[b]), pa.array(sig[a] if over else np.zeros(len(a), np.int64), mask=np.full(len(a), not over)), pa.array(side[b])], names=["a", "b", "size_a", "size_b", "over", "side"]
         )
 
-    def pairs(sig, doc, size, a, b):
+    def pairs(sig, doc, size, side, a, b):
         na, nb = size[a] >> 1, size[b] >> 1
-        good = (np.minimum(na, nb) >= ratio * np.maximum(na, nb)) & (doc[a] != doc[b])
+        good = (np.minimum(na, nb) >= ratio * np.maximum(na, nb)) & (doc[a] != doc[b]) & ((side[a] == BOTH) | (side[a] != side[b]))
         a, b = a[good], b[good]
         if len(a):
             swap = doc[a] > doc[b]
-            yield rows(sig, doc, size, np.where(swap, b, a), np.where(swap, a, b), False)
+            yield rows(sig, doc, size, side, np.where(swap, b, a), np.where(swap, a, b), False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
-        star = None  # (sig, doc, size) of a group that has more rows than `most`, whose rows stream by
+        rest = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)]
+        star = None  # (sig, doc, size, side) of a group that has more rows than `most`, whose rows stream by
         for b in batches:
             if not b.num_rows:
                 continue
-            sig, doc, size = (np.concatenate([r, c.to_numpy(zero_copy_only=False)]) for r, c in zip(rest, b.columns))
+            sig, doc, size, side = (np.concatenate([r, c.to_numpy(zero_copy_only=False)]) for r, c in zip(rest, b.columns))
             if star:
                 n = int(np.searchsorted(sig != star[0], True)) if (sig != star[0]).any() else len(sig)
                 if n:
-                    s, d, z = (np.concatenate([[x], y[:n]]).astype(y.dtype) for x, y in zip(star, (sig, doc, size)))
-                    yield rows(s, d, z, np.zeros(n, np.int64), np.arange(1, n + 1), True)
-                    sig, doc, size = sig[n:], doc[n:], size[n:]
+                    s, d, z, w = (np.concatenate([[x], y[:n]]).astype(y.dtype) for x, y in zip(star, (sig, doc, size, side)))
+                    yield rows(s, d, z, w, np.zeros(n, np.int64), np.arange(1, n + 1), True)
+                    sig, doc, size, side = sig[n:], doc[n:], size[n:], side[n:]
                 if not len(sig):
-                    rest = [sig, doc, size]
+                    rest = [sig, doc, size, side]
                     continue
                 star = None
             lo = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
             hi = np.concatenate([lo[1:], [len(sig)]])
             if hi[-1] - lo[-1] <= most:  # the last group may go on in the next batch
-                rest = [x[lo[-1] :] for x in (sig, doc, size)]
+                rest = [x[lo[-1] :] for x in (sig, doc, size, side)]
                 lo, hi = lo[:-1], hi[:-1]
             else:
-                rest = [x[:0] for x in (sig, doc, size)]
-                star = (sig[lo[-1]], doc[lo[-1]], size[lo[-1]])
+                rest = [x[:0] for x in (sig, doc, size, side)]
+                star = (sig[lo[-1]], doc[lo[-1]], size[lo[-1]], side[lo[-1]])
             small = hi - lo <= most
-            yield from emit(sig, doc, size, lo[small], hi[small])
+            yield from emit(sig, doc, size, side, lo[small], hi[small])
             for x, y in zip(lo[~small], hi[~small]):
-                yield rows(sig, doc, size, np.full(y - x, x), np.arange(x, y), True)
-        sig, doc, size = rest
+                if star and sig[x] == star[0] or side[x] == BOTH or (side[x:y] != side[x]).any():  # else there's no one to compare with
+                    yield rows(sig, doc, size, side, np.full(y - x, x), np.arange(x, y), True)
+        sig, doc, size, side = rest
         if len(sig):
-            yield from emit(sig, doc, size, np.array([0]), np.array([len(sig)]))
+            yield from emit(sig, doc, size, side, np.array([0]), np.array([len(sig)]))
 
     return run
 
@@ -325,14 +341,14 @@ def _links(pairs: DataFrame, tokens: DataFrame, t: Fraction) -> DataFrame:
 
 
 def _round(tokens: DataFrame, most: int, t: Fraction, fine: bool) -> tuple[DataFrame, DataFrame]:
-    """(verified links, texts of large groups as (sig, doc, size)) of one index over (kind, doc, tokens)."""
+    """(candidates (a, b), texts of large groups as (sig, doc, size, side)) of one index over (kind, doc, tokens)."""
     logs = sketch(tokens)
     rare = int(_log(np.array([most]))[0])
     shared = tokens.sparkSession.sparkContext.broadcast(zlib.compress(logs.tobytes(), 1))
-    postings = tokens.select("kind", "doc", "tokens").mapInArrow(_postings(shared, rare, t, fine), "sig long, doc long, size int")
+    postings = tokens.select("kind", "doc", "tokens").mapInArrow(_postings(shared, rare, t, fine), "sig long, doc long, size int, side int")
     # a few orders in all: then the stars of a large group of near-duplicates have few centres, and a text few links to verify
     ordered = postings.repartition("sig").sortWithinPartitions("sig", F.xxhash64("doc", F.pmod("sig", F.lit(ORDERS))), "doc")
-    pairs = written(ordered.mapInArrow(_pairs(most, t), "a long, b long, size_a int, size_b int, over long"), "dup-pairs")
+    pairs = written(ordered.mapInArrow(_pairs(most, t), "a long, b long, size_a int, size_b int, over long, side int"), "dup-pairs")
     na, nb = F.shiftright("size_a", 1), F.shiftright("size_b", 1)
     need = F.ceil((na + nb) * t.numerator / F.lit(t.numerator + t.denominator))
     both_frequent = F.shiftleft(F.col("size_a"), 31).bitwiseAND(F.shiftleft(F.col("size_b"), 31)) != 0
@@ -341,14 +357,14 @@ def _round(tokens: DataFrame, most: int, t: Fraction, fine: bool) -> tuple[DataF
     sized = pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (na + nb).alias("n"), enough.alias("enough"), F.col("over").isNotNull().alias("star"))
     # of a star's pairs some signatures may be in other stars, so they are verified whatever they share
     found = sized.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("enough").alias("enough"), F.max("star").alias("star")).where("star or shared >= enough")
-    return found.select("a", "b"), pairs.where("over is not null").select(F.col("over").alias("sig"), F.col("b").alias("doc"), F.col("size_b").alias("size"))
+    return found.select("a", "b"), pairs.where("over is not null").select(F.col("over").alias("sig"), F.col("b").alias("doc"), F.col("size_b").alias("size"), "side")
 
 
 def _open(large: DataFrame, named: DataFrame) -> DataFrame:
-    """(sig, doc, size, component) of the large groups whose texts are in several components."""
+    """(sig, doc, size, side, component) of the large groups whose texts are in several components and on both sides."""
     of = large.join(named.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    several = of.groupBy("sig").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first <> last")
-    return of.join(several.select("sig"), "sig", "left_semi").select("sig", "doc", "size", "component")
+    several = of.groupBy("sig").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.min("side").alias("low"), F.max("side").alias("high")).where(f"first <> last and (low <> high or low = {BOTH})")
+    return of.join(several.select("sig"), "sig", "left_semi").select("sig", "doc", "size", "side", "component")
 
 
 def _across(large: DataFrame, t: Fraction) -> DataFrame:
@@ -358,9 +374,9 @@ def _across(large: DataFrame, t: Fraction) -> DataFrame:
     """
     sizes = large.groupBy("sig", "component").count().groupBy("sig").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("n"))
     large = large.join(sizes, "sig").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    out = large.where("component <> main").select("sig", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "doc", F.shiftright("size", 1).alias("s"), F.col("component").alias("c"))
-    rest = large.select("sig", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), F.col("doc").alias("other"), F.shiftright("size", 1).alias("size"), "component")
-    both = out.join(rest, ["sig", "block"]).where("c <> component").where(F.least("s", "size") + 1e-6 >= float(t) * F.greatest("s", "size"))
+    out = large.where("component <> main").select("sig", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "doc", F.shiftright("size", 1).alias("s"), F.col("side").alias("z"), F.col("component").alias("c"))
+    rest = large.select("sig", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), F.col("doc").alias("other"), F.shiftright("size", 1).alias("size"), "side", "component")
+    both = out.join(rest, ["sig", "block"]).where(f"c <> component and (side <> z or side = {BOTH})").where(F.least("s", "size") + 1e-6 >= float(t) * F.greatest("s", "size"))
     return both.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
 
 
