@@ -70,7 +70,7 @@ _WRITTEN = re.compile(r"(?=.*[A-Z])(?=.*[a-z]).*\d[A-Za-z]")
 # a password's hash, which nobody can log in with
 _HASH = re.compile(r"\$(?:1|2[abxy]?|5|6|7|y|apr1|argon2\w*|scrypt|pbkdf2[\w-]*)\$.+")
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.I)
-_DIGESTED = re.compile(r"(?:sha\d*|md5|digest|checksum|hash|fingerprint)[_.-]?$", re.I)
+_DIGESTED = re.compile(r"(?:sha-?\d+|md5|checksum)[_.-]?$", re.I)
 _REFERENCE = re.compile(r"^%\w+%$|^@|^&|^env[:.]|^vault[:.]|^ref[:+]|^file:|^/|^\.\.?/|^arn:|^https?:|os\.environ|getenv|process\.env", re.I)
 # Words that end with a secret's name and mean something else.
 _OTHER_WORDS = {"compass", "encompass", "bypass", "trespass", "surpass", "underpass", "overpass", "lowpass", "highpass", "bandpass", "allpass", "subpass", "renderpass", "multipass", "singlepass", "firstpass", "subtoken", "pretoken", "nexttoken"}
