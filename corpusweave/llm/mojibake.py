@@ -289,6 +289,8 @@ def fit(texts: DataFrame, source: str, text: str, rounds: int = ROUNDS) -> tuple
     sc = texts.sparkSession.sparkContext
     kind = "source int, line string, n long"
     counted = spread(texts.select(F.col(source).cast("long"), text).where(F.col(text).rlike("[^\\x00-\\x7F]"))).mapInArrow(_lines, kind)
+    # one shuffle for both sums; of a fixed number of partitions, as few bytes of lines make much work
+    counted = counted.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "line")
     by_line = counted.groupBy("source", "line").agg(F.sum("n").alias("n")).groupBy("line").agg(F.collect_list(F.struct("source", "n")).alias("at"))  # at most SOURCES in a list
     lines = by_line.select("line", F.col("at.source").alias("sources"), F.col("at.n").alias("counts"))
     lines = written(lines.mapInArrow(_candidates, "chains array<int>, texts array<string>, sources array<int>, counts array<long>"), "moji-lines")
